@@ -11,7 +11,7 @@ def seeded_digest(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
-def seeded_uniform(key: Column, seed: int | str) -> Column:
-    """Number in [0, 1) from the first 32 bits of the digest."""
-    word = F.conv(F.substring(seeded_digest(key, seed), 1, 8), 16, 10).cast("bigint")
-    return word / F.lit(float(2**32))
+def seeded_uniform(key: Column, seed: int | str, word: int = 0) -> Column:
+    """Number in [0, 1) from one of the four 32-bit words of the digest."""
+    digits = F.substring(seeded_digest(key, seed), 8 * word + 1, 8)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(2**32))

@@ -17,7 +17,7 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+def bound_once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row.
 
     Inside a lambda an expression runs again for every element; the variable of an outer lambda
@@ -100,7 +100,7 @@ def reshape_rows(values: str | Column, width: int) -> Column:
         problem = F.format_string(f"%d values are no multiple of {width}", count)
         return F.when(count % width != 0, F.raise_error(problem)).otherwise(rows)
 
-    return _bound(_column(values), cut)
+    return bound_once(_column(values), cut)
 
 
 def channel_planes(
@@ -125,7 +125,7 @@ def interleaved_to_planar(
         )
 
     values = _column(values)
-    return F.when(values.isNotNull(), _bound(values, moved))
+    return F.when(values.isNotNull(), bound_once(values, moved))
 
 
 def planar_to_interleaved(
@@ -140,13 +140,13 @@ def planar_to_interleaved(
         )
 
     values = _column(values)
-    return F.when(values.isNotNull(), _bound(values, moved))
+    return F.when(values.isNotNull(), bound_once(values, moved))
 
 
 def flip_horizontal(values: str | Column, width: int, channels: int = 3) -> Column:
     """Mirror an interleaved picture left to right."""
     dots = reshape_rows(values, channels)
-    rows = _bound(dots, lambda pixels: reshape_rows(pixels, width))
+    rows = bound_once(dots, lambda pixels: reshape_rows(pixels, width))
     return F.flatten(F.transform(rows, lambda row: F.flatten(F.reverse(row))))
 
 
@@ -183,9 +183,9 @@ def softmax(scores: str | Column) -> Column:
 
     def shares(powers: Column) -> Column:
         total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-        return _bound(total, lambda sum_: F.transform(powers, lambda p: p / sum_))
+        return bound_once(total, lambda sum_: F.transform(powers, lambda p: p / sum_))
 
     def powers_below(top: Column) -> Column:
         return F.transform(scores, lambda x: F.exp(x.cast("double") - top.cast("double")))
 
-    return _bound(_bound(F.array_max(scores), powers_below), shares)
+    return bound_once(bound_once(F.array_max(scores), powers_below), shares)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaflow.functions.tensors import bound_once, has_shape, reshape_rows
 from mediaflow.operators.payload import Fetcher, map_references
 from mediaflow.schemas import require_columns
 from mediaflow.shipping import ship_package
@@ -285,7 +286,7 @@ def _replace_by_pixels(
 
 def bmp_bytes(pixels: str | Column, height: int, width: int) -> Column:
     """Encode interleaved red-green-blue values 0 to 255 as an uncompressed BMP file."""
-    column = F.col(pixels) if isinstance(pixels, str) else pixels
+    values = F.col(pixels) if isinstance(pixels, str) else pixels
     stride = width * 3
     padding = -stride % 4
     size = 54 + height * (stride + padding)
@@ -293,18 +294,17 @@ def bmp_bytes(pixels: str | Column, height: int, width: int) -> Column:
         "<IiiHHIIiiII", 40, width, height, 1, 24, 0, size - 54, 2835, 2835, 0, 0
     )
 
-    def pixel_row(y: Column) -> Column:
-        dots = F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda x: F.array_join(
-                F.transform(
-                    F.reverse(F.slice(column, y * stride + x * 3 + 1, F.lit(3))),
-                    lambda value: F.lpad(F.hex(value.cast("int")), 2, "0"),
-                ),
-                "",
+    def body(digits: Column) -> Column:
+        rows = F.reverse(reshape_rows(reshape_rows(digits, 3), width))
+        lines = F.transform(
+            rows,
+            lambda row: F.concat(
+                F.array_join(F.flatten(F.transform(row, lambda dot: F.reverse(dot))), ""),
+                F.lit("00" * padding),
             ),
         )
-        return F.concat(F.array_join(dots, ""), F.lit("00" * padding))
+        return F.concat(F.lit(header.hex()), F.array_join(lines, ""))
 
-    rows = F.transform(F.sequence(F.lit(height - 1), F.lit(0), F.lit(-1)), pixel_row)
-    return F.unhex(F.concat(F.lit(header.hex()), F.array_join(rows, "")))
+    digits = F.transform(values, lambda value: F.lpad(F.hex(value.cast("int")), 2, "0"))
+    checked = F.when(has_shape(values, height, width), digits)
+    return F.unhex(bound_once(checked, body))

@@ -8,7 +8,7 @@ the few lookup rows of those keys by one copy per salt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,14 @@ def _column_bytes(field: T.StructField) -> Column:
 
 
 def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Whether the whole table, measured by one aggregate over it, stays under the limit."""
+    """Whether the whole table stays under the limit.
+
+    Spark's estimate from the file sizes turns away tables too large to be worth reading for this.
+    It can be too low for compressed files, so what passes is measured by one aggregate.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > limit_bytes:
+        return False
     row_bytes = F.lit(ROW_OVERHEAD_BYTES).cast("bigint")
     for field in df.schema.fields:
         row_bytes = row_bytes + _column_bytes(field)
@@ -45,19 +52,27 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
     return total <= limit_bytes
 
 
-def hot_keys(df: DataFrame, key: str, share: float, reducers: int) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float, reducers: int) -> list[Row]:
     """Keys holding more than ``share`` of the rows, with the number of copies each should get.
 
-    The counts are combined map-side, so a hot key costs one row per task, and at most
-    ``1 / share`` keys can pass, so the result is bounded whatever the size of ``df``.
+    One pass without a shuffle finds every such key among at most ``1 / share`` candidates, a
+    second counts the candidates. So the result is bounded whatever the size of ``df``.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).first()["total"]
-    floor = max(int(total * share), 1)
-    wanted = F.ceil(F.col("n") / F.lit(floor)).cast("int")
-    return counts.filter(F.col("n") > floor).select(
-        key, F.least(wanted, F.lit(reducers)).alias(COPIES)
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    found = keys.stat.freqItems([key], share)
+    candidates = found.select(F.explode(f"{key}_freqItems").alias(key))
+    counts = (
+        keys.join(F.broadcast(candidates), key, "left_semi")
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
+    floor = max(int(df.count() * share), 1)
+    return [
+        Row(**{key: row[key], COPIES: min(-(-row["n"] // floor), reducers)})
+        for row in counts
+        if row["n"] > floor
+    ]
 
 
 def lookup_join(
@@ -76,8 +91,15 @@ def lookup_join(
         raise ValueError(f"unsupported join {how!r}")
     if fits_broadcast(right, limit_bytes):
         return left.join(F.broadcast(right), key, how)
-    reducers = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(left, key, share, reducers))
+    spark = left.sparkSession
+    reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = hot_keys(left, key, share, reducers)
+    if not rows:
+        return left.join(right, key, how)
+    schema = T.StructType(
+        [T.StructField(key, left.schema[key].dataType), T.StructField(COPIES, T.IntegerType())]
+    )
+    hot = F.broadcast(spark.createDataFrame(rows, schema))
     # Row content alone would keep identical copies together, so the input partition is mixed in;
     # both are the same when a lost task runs again.
     spread = F.xxhash64(F.spark_partition_id(), *_hashable(left))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediaflow.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join
+from mediaflow.operators.joins import BROADCAST_LIMIT_BYTES, fits_broadcast, lookup_join
 from mediaflow.schemas import require_columns
 from mediaflow.shipping import ship_package
 from mediaflow.storage import arrow_path
@@ -48,7 +48,13 @@ def attach_payload(
         )
         if repeated:
             raise DuplicatePayload(f"several payloads for {[row[0] for row in repeated]}")
-    return lookup_join(refs, payload.filter(F.col(key).isNotNull()), key, "left", limit_bytes)
+    stored = payload.filter(F.col(key).isNotNull())
+    if not fits_broadcast(stored, limit_bytes):
+        wanted = refs.select(key).distinct()
+        if fits_broadcast(wanted, limit_bytes):
+            # Few references into a large store: only payloads asked for are shuffled.
+            stored = stored.join(F.broadcast(wanted), key, "left_semi")
+    return lookup_join(refs, stored, key, "left", limit_bytes)
 
 
 def http_fetcher(prefix: str = "", timeout: float = 30.0, attempts: int = 3) -> Fetcher:

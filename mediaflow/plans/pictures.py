@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.operators import images, payload
 from mediaflow.plans.arrays import SIDE, exploded
-from mediaflow.plans.registry import query, table
+from mediaflow.plans.registry import query, spread, table
 from mediaflow.sources import media
 from mediaflow.storage import scratch_path
 
@@ -36,7 +36,8 @@ def picture_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("embedding", lambda v: v.cast("double")),
         lambda v: F.array(_grey(127.5 + 127.5 * v), _grey(127.5 - 127.5 * v), _grey(255.0 * v * v)),
     )
-    return table(spark, folder, "embeddings").select("vec_id", "label", F.flatten(dots).alias("pixels"))
+    scan = spread(table(spark, folder, "embeddings"), spark.sparkContext.defaultParallelism)
+    return scan.select("vec_id", "label", F.flatten(dots).alias("pixels"))
 
 
 def picture_files(spark: SparkSession, folder: str, by_class: bool) -> str:
@@ -95,7 +96,8 @@ def image_source(spark: SparkSession, folder: str) -> DataFrame:
 )
 def fetch_payload(spark: SparkSession, folder: str) -> DataFrame:
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
-    refs = table(spark, folder, "documents").select(
+    scan = table(spark, folder, "documents").select("doc_id")
+    refs = spread(scan, spark.sparkContext.defaultParallelism).select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("reference")
     )
     return payload.fetch_payload(refs, "reference", fetch).select(
@@ -173,17 +175,11 @@ TARGET_SIDE = 32
 )
 def image_materialise(spark: SparkSession, folder: str) -> DataFrame:
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
-    refs = table(spark, folder, "documents").select(
+    scan = table(spark, folder, "documents").select("doc_id")
+    refs = spread(scan, spark.sparkContext.defaultParallelism).select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("accessuri")
     )
-    rows = images.materialise_images(
-        refs,
-        "accessuri",
-        fetch,
-        TARGET_SIDE,
-        TARGET_SIDE,
-        num_partitions=spark.sparkContext.defaultParallelism,
-    )
+    rows = images.materialise_images(refs, "accessuri", fetch, TARGET_SIDE, TARGET_SIDE)
     whole = F.transform("imgnpa", lambda v, i: v.cast("bigint") * (i + 1))
     zero = F.lit(0).cast("bigint")
     return rows.select(

@@ -287,15 +287,15 @@ def count_if(spark: SparkSession, folder: str) -> DataFrame:
     "pi_estimate",
     """select count(*) as n_points, count(*) filter (x * x + y * y < 1) as n_inside,
     4.0::double * count(*) filter (x * x + y * y < 1) / count(*) as pi
-    from (select ('0x' || substr(md5(k || ':x'), 1, 8))::bigint / 4294967296.0::double as x,
-    ('0x' || substr(md5(k || ':y'), 1, 8))::bigint / 4294967296.0::double as y
+    from (select ('0x' || substr(md5(k || ':11'), 1, 8))::bigint / 4294967296.0::double as x,
+    ('0x' || substr(md5(k || ':11'), 9, 8))::bigint / 4294967296.0::double as y
     from (select l_orderkey::varchar || '-' || l_linenumber::varchar || '-' || l_partkey::varchar
     as k from lineitem))""",
 )
 def pi_estimate(spark: SparkSession, folder: str) -> DataFrame:
     names = ["l_orderkey", "l_linenumber", "l_partkey"]
     keys = table(spark, folder, "lineitem").select(F.concat_ws("-", *names).alias("k"))
-    x, y = seeded_uniform(F.col("k"), "x"), seeded_uniform(F.col("k"), "y")
+    x, y = seeded_uniform(F.col("k"), 11), seeded_uniform(F.col("k"), 11, word=1)
     points = keys.select(x.alias("x"), y.alias("y"))
     return evaluate.unit_circle_estimate(points, F.col("x"), F.col("y"))
 
