@@ -18,12 +18,12 @@ def _column(value: str | Column) -> Column:
 
 
 def bound_once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row.
+    """``body(value)`` with the value computed once per row; NULL for a NULL value.
 
     Inside a lambda an expression runs again for every element; the variable of an outer lambda
     does not.
     """
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: F.when(v.isNotNull(), body(v)))[0]
 
 
 def _range(n: int) -> Column:
@@ -124,8 +124,7 @@ def interleaved_to_planar(
             lambda i: flat[(i % area) * channels + F.floor(i / area).cast("int")],
         )
 
-    values = _column(values)
-    return F.when(values.isNotNull(), bound_once(values, moved))
+    return bound_once(_column(values), moved)
 
 
 def planar_to_interleaved(
@@ -139,8 +138,7 @@ def planar_to_interleaved(
             lambda i: flat[(i % channels) * area + F.floor(i / channels).cast("int")],
         )
 
-    values = _column(values)
-    return F.when(values.isNotNull(), bound_once(values, moved))
+    return bound_once(_column(values), moved)
 
 
 def flip_horizontal(values: str | Column, width: int, channels: int = 3) -> Column:
