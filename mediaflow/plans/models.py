@@ -23,7 +23,7 @@ LINEAR = {
     "loss": "categorical",
 }
 
-TWO_STEPS_SQL = """
+STEPS_SQL = """
 with x as (select vec_id, label, unnest(range(64))::int as d, unnest(embedding)::double as v
            from embeddings
            union all select vec_id, label, 64 as d, 1.0::double as v from embeddings),
@@ -36,24 +36,66 @@ logit as (select vec_id, label, c, sum(v * w) as z from x join first using (d)
 share as (select vec_id, label, c, exp(z) / sum(exp(z)) over (partition by vec_id) as p from logit),
 step as (select d, c, -0.5::double * sum(v * (p - (share.label = c)::int)) / any_value(n) as s
          from x join share using (vec_id), n group by d, c)
-select 0::int as layer, (d * 10 + c)::int as pos, round(w + s, 9) as weight
+"""
+
+TWO_STEPS_SQL = f"""{STEPS_SQL}
+select 0::int as layer, (d * 10 + c)::int as pos, round(w + s, 9) + 0.0::double as weight
 from first join step using (d, c)
 """
 
 
-@query("averaged_train", TWO_STEPS_SQL)
-def averaged_train(spark: SparkSession, folder: str) -> DataFrame:
-    """Two epochs with one step each over all rows, which averaging over partitions gives exactly."""
-    rows = table(spark, folder, "embeddings")
-    trainer = AveragedNetwork(
+HISTORY_SQL = f"""{STEPS_SQL}
+select 1::int as epoch, count(*) as n, round(ln(10), 9) as loss,
+round(avg((label = 0)::int), 9) as accuracy from embeddings
+union all
+select 2::int as epoch, count(*) as n, round(avg(-ln(p)), 9) as loss,
+round(avg((label = top)::int), 9) as accuracy from (
+select any_value(label) as label, arg_max(c, p) as top, max(p) filter (c = label) as p
+from share group by vec_id)
+"""
+
+EXCHANGE_SQL = f"""{STEPS_SQL}
+select 0::int as layer, (d * 10 + c)::int as pos,
+case when abs(w) < 1e-15 then 0.0::double
+else round(0.01::double * w / (abs(w) + 1e-7::double), 9) end as weight from first
+"""
+
+
+def _whole_batch_trainer(**settings) -> AveragedNetwork:
+    """One step per epoch over all rows, which averaging over partitions gives exactly."""
+    return AveragedNetwork(
         spec=LINEAR,
         featuresCol="embedding",
         optimizerSettings={"rate": RATE},
-        epochs=2,
         batchSize=0,
         initial="zero",
+        **settings,
     )
-    weights = trainer.fit(rows).weight_table(spark)
+
+
+@query("averaged_train", TWO_STEPS_SQL)
+def averaged_train(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights after two epochs."""
+    trainer = _whole_batch_trainer(epochs=2)
+    weights = trainer.fit(table(spark, folder, "embeddings")).weight_table(spark)
+    return weights.withColumn("weight", F.round("weight", 9))
+
+
+@query("training_history", HISTORY_SQL)
+def training_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss and accuracy of the weights each of two epochs started from."""
+    trainer = _whole_batch_trainer(epochs=2)
+    history = trainer.fit(table(spark, folder, "embeddings")).history(spark)
+    return history.select(
+        "epoch", "n", F.round("loss", 9).alias("loss"), F.round("accuracy", 9).alias("accuracy")
+    )
+
+
+@query("exchange_train", EXCHANGE_SQL)
+def exchange_train(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights after one epoch whose averaged difference is taken over by an adaptive rule."""
+    trainer = _whole_batch_trainer(epochs=1, exchange="adagrad")
+    weights = trainer.fit(table(spark, folder, "embeddings")).weight_table(spark)
     return weights.withColumn("weight", F.round("weight", 9))
 
 
