@@ -113,16 +113,22 @@ def channel_planes(
     return F.when(_column(values).isNotNull(), nested)
 
 
+def _of_length(flat: Column, n: int, result: Column) -> Column:
+    problem = F.format_string(f"%d values where {n} belong", F.size(flat))
+    return F.when(F.size(flat) != n, F.raise_error(problem)).otherwise(result)
+
+
 def interleaved_to_planar(
     values: str | Column, height: int, width: int, channels: int = 3
 ) -> Column:
-    area = height * width
+    n = height * width * channels
 
     def moved(flat: Column) -> Column:
-        return F.transform(
-            _range(area * channels),
-            lambda i: flat[(i % area) * channels + F.floor(i / area).cast("int")],
+        # The places are the same for every row: the optimizer folds them into one literal.
+        places = F.flatten(
+            F.array(*[F.sequence(F.lit(c), F.lit(n - 1), F.lit(channels)) for c in range(channels)])
         )
+        return _of_length(flat, n, F.transform(places, lambda at: flat[at]))
 
     return bound_once(_column(values), moved)
 
@@ -133,19 +139,34 @@ def planar_to_interleaved(
     area = height * width
 
     def moved(flat: Column) -> Column:
-        return F.transform(
-            _range(area * channels),
-            lambda i: flat[(i % channels) * area + F.floor(i / channels).cast("int")],
+        dots = F.transform(
+            _range(area), lambda at: F.array(*[flat[at + c * area] for c in range(channels)])
         )
+        return _of_length(flat, area * channels, F.flatten(dots))
 
     return bound_once(_column(values), moved)
 
 
 def flip_horizontal(values: str | Column, width: int, channels: int = 3) -> Column:
     """Mirror an interleaved picture left to right."""
-    dots = reshape_rows(values, channels)
-    rows = bound_once(dots, lambda pixels: reshape_rows(pixels, width))
-    return F.flatten(F.transform(rows, lambda row: F.flatten(F.reverse(row))))
+    stride = width * channels
+    mirrored = F.flatten(
+        F.transform(
+            F.sequence(F.lit(width - 1), F.lit(0), F.lit(-1)),
+            lambda x: F.sequence(x * channels, x * channels + (channels - 1)),
+        )
+    )
+
+    def flip(flat: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(flat) - 1, F.lit(0)), F.lit(stride))
+
+        def rows(line: Column) -> Column:
+            return F.transform(starts, lambda start: F.transform(line, lambda at: flat[start + at]))
+
+        flipped = F.flatten(bound_once(mirrored, rows))
+        return F.when(F.size(flat) == 0, flat).otherwise(flipped)
+
+    return bound_once(_column(values), flip)
 
 
 def scale_by(values: str | Column, divisor: float = 255.0) -> Column:
