@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 from mediaflow.operators import network
@@ -15,7 +16,10 @@ SUMS = ["n", "loss", "hits", "val_n", "val_loss", "val_hits"]
 
 
 def matrix(values: pa.Array, width: int, dtype: str) -> np.ndarray:
-    """Arrow list column to a (rows, width) matrix."""
+    """Arrow list column to a (rows, width) matrix; every list must have that width."""
+    widths = pc.min_max(pc.list_value_length(values))
+    if len(values) and (widths["min"].as_py(), widths["max"].as_py()) != (width, width):
+        raise ValueError(f"arrays of {widths['min']} to {widths['max']} values, not of {width}")
     flat = values.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(dtype, copy=False).reshape(len(values), width)
 
@@ -68,26 +72,33 @@ class EpochTask:
                 out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 if out.any():
                     # Held-out rows measure the weights this epoch starts from.
-                    note("val_", network.forward(made, start, x[out])[0], y[out])
+                    score("val_", x[out], y[out])
                 if not out.all():
                     yield x[~out], y[~out]
 
+        def score(prefix: str, x: np.ndarray, y: np.ndarray) -> None:
+            for part in network.slices(made, len(y)):
+                note(prefix, network.forward(made, start, x[part])[0], y[part])
+
         def gradient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            outputs, kept = network.forward(made, flat, x, draw)
-            note("", outputs, y)
-            return network.backward(made, flat, outputs, y, kept)
+            """Summed over the rows, in slices that bound the memory of the layers."""
+            total = np.zeros_like(flat)
+            for part in network.slices(made, len(y)):
+                outputs, kept = network.forward(made, flat, x[part], draw)
+                note("", outputs, y[part])
+                total += network.backward(made, flat, outputs, y[part], kept)
+            return total
 
         if not s["train"]:
             for x, y in training_rows():
-                note("", network.forward(made, start, x)[0], y)
+                score("", x, y)
         elif s["batch_size"] > 0:
             for x, y in _mini_batches(training_rows(), s["batch_size"], draw):
                 flat = step(flat, gradient(x, y) / len(y))
         else:
             total = np.zeros_like(flat)
             for x, y in training_rows():
-                for at in range(0, len(y), 256):
-                    total += gradient(x[at : at + 256], y[at : at + 256])
+                total += gradient(x, y)
             if sums["n"]:
                 flat = step(flat, total / sums["n"])
         if sums["n"] or sums["val_n"]:
@@ -117,7 +128,7 @@ def scored(made, flat: np.ndarray, values: pa.Array, dtype: str) -> pa.Array:
     outputs = np.zeros((len(values), made.outputs))
     if present.any():
         x = matrix(values.filter(pa.array(present)), made.inputs, dtype)
-        found = [network.forward(made, flat, x[at : at + 256])[0] for at in range(0, len(x), 256)]
+        found = [network.forward(made, flat, x[part])[0] for part in network.slices(made, len(x))]
         outputs[present] = np.concatenate(found)
         prediction[present] = network.classes_of(outputs[present])
     scores = [row if ok else None for row, ok in zip(outputs, present)]

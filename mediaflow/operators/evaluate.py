@@ -27,14 +27,16 @@ def confusion_wide(
     Classes that never occur are shown with zeros, on both sides.
     """
     spark = df.sparkSession
+    # Models predict doubles; as whole numbers they match the class names.
+    pairs = df.select(F.col(truth).cast("int"), F.col(predicted).cast("int"))
     counted = (
-        df.groupBy(truth)
+        pairs.groupBy(truth)
         .pivot(predicted, list(classes))
         .count()
         .select(truth, *[F.col(f"`{c}`").alias(f"predicted_{c}") for c in classes])
     )
     rows = spark.createDataFrame([(int(c),) for c in classes], f"{truth} int")
-    full = rows.join(counted.withColumn(truth, F.col(truth).cast("int")), truth, "left")
+    full = rows.join(counted, truth, "left")
     return full.fillna(0, [f"predicted_{c}" for c in classes])
 
 

@@ -21,6 +21,7 @@ Spec = dict
 Array = np.ndarray
 
 PROBABILITY_FLOOR = 1e-7
+WIDEST_SLICE = 2**24
 
 
 def dense_spec(
@@ -74,6 +75,7 @@ class Plan:
     shapes: list[tuple[int, ...]] = field(default_factory=list)
     slots: list[tuple[int, tuple[int, ...], int]] = field(default_factory=list)
     size: int = 0
+    widest: int = 1
 
     @property
     def inputs(self) -> int:
@@ -97,6 +99,7 @@ def plan(spec: Spec) -> Plan:
                 raise SpecError(f"convolution of size {k} does not fit the shape {shape}")
             weights = (k * k * shape[2], layer["filters"])
             shape = (shape[0] - k + 1, shape[1] - k + 1, layer["filters"])
+            made.widest = max(made.widest, shape[0] * shape[1] * weights[0])
         elif kind == "pool":
             k = layer["size"]
             if len(shape) != 3 or min(shape[:2]) < k:
@@ -115,6 +118,7 @@ def plan(spec: Spec) -> Plan:
         if weights:
             made.size += math.prod(weights) + weights[1]
         made.shapes.append(shape)
+        made.widest = max(made.widest, math.prod(shape))
     if len(shape) != 1:
         raise SpecError(f"the output must be flat, not {shape}")
     if spec["loss"] == "binary" and shape != (1,):
@@ -127,6 +131,12 @@ def plan(spec: Spec) -> Plan:
     return made
 
 
+def slices(made: Plan, rows: int) -> list[slice]:
+    """Cut a batch so that no layer holds more than some sixteen million values at once."""
+    step = min(max(WIDEST_SLICE // made.widest, 1), 256)
+    return [slice(at, at + step) for at in range(0, rows, step)]
+
+
 def initial_weights(made: Plan, seed: int) -> Array:
     """Uniform weights scaled by the fan-in and fan-out of each layer; zero biases."""
     draw = np.random.default_rng(seed)

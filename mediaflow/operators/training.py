@@ -206,6 +206,42 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
                 params[name] = json.dumps(params[name])
         return self._set(**params)
 
+    def setSpec(self, value: dict | str) -> AveragedNetwork:
+        return self.setParams(spec=value)
+
+    def setFeaturesCol(self, value: str) -> AveragedNetwork:
+        return self._set(featuresCol=value)
+
+    def setLabelCol(self, value: str) -> AveragedNetwork:
+        return self._set(labelCol=value)
+
+    def setPredictionCol(self, value: str) -> AveragedNetwork:
+        return self._set(predictionCol=value)
+
+    def setOptimizer(self, value: str, **settings: float) -> AveragedNetwork:
+        return self.setParams(optimizer=value, optimizerSettings=settings)
+
+    def setExchange(self, value: str, **settings: float) -> AveragedNetwork:
+        return self.setParams(exchange=value, exchangeSettings=settings)
+
+    def setNumClasses(self, value: int) -> AveragedNetwork:
+        return self._set(numClasses=value)
+
+    def setNumWorkers(self, value: int) -> AveragedNetwork:
+        return self._set(numWorkers=value)
+
+    def setEpochs(self, value: int) -> AveragedNetwork:
+        return self._set(epochs=value)
+
+    def setBatchSize(self, value: int) -> AveragedNetwork:
+        return self._set(batchSize=value)
+
+    def setValidationSplit(self, value: float) -> AveragedNetwork:
+        return self._set(validationSplit=value)
+
+    def setVerbosity(self, value: int) -> AveragedNetwork:
+        return self._set(verbosity=value)
+
     def _fit(self, dataset: DataFrame) -> AveragedNetworkModel:
         get = self.getOrDefault
         made = self._plan()

@@ -225,6 +225,41 @@ def test_bad_training_tables_are_refused(spark, points):
         AveragedNetwork(spec=LINEAR, validationSplit=1.0).fit(points)
 
 
+def test_setters_and_epoch_lines(points, capsys):
+    trainer = (
+        AveragedNetwork()
+        .setSpec(LINEAR)
+        .setFeaturesCol("features")
+        .setLabelCol("label")
+        .setPredictionCol("guess")
+        .setOptimizer("adagrad", rate=0.1)
+        .setExchange("adadelta", rate=0.5)
+        .setNumClasses(3)
+        .setNumWorkers(1)
+        .setEpochs(2)
+        .setBatchSize(128)
+        .setValidationSplit(0.15)
+        .setVerbosity(1)
+    )
+    assert "guess" in trainer.fit(points).transform(points).columns
+    assert capsys.readouterr().out.count("epoch") == 2
+
+
+def test_slices_bound_the_layers():
+    made = network.plan(network.conv_spec(256, 256, 1))
+    assert made.widest == 125 * 125 * 288
+    parts = network.slices(made, 10)
+    assert len(parts) == 4 and parts[-1].stop >= 10
+    assert len(network.slices(network.plan(LINEAR), 1000)) == 4
+
+
+def test_scoring_refuses_other_widths(spark):
+    model = AveragedNetworkModel.of(LINEAR, np.zeros(9))
+    rows = spark.createDataFrame([([1.0],), ([1.0, 2.0, 3.0],)], "features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="not of 2"):
+        model.transform(rows).collect()
+
+
 def test_null_features_predict_null(spark):
     model = AveragedNetworkModel.of(LINEAR, np.zeros(9), scoresCol="scores")
     rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "features array<double>")
