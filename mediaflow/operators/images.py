@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from importlib import import_module
 from io import BytesIO
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,14 @@ LANCZOS_LOBES = 3
 FIXED_POINT_BITS = 22
 
 
+@lru_cache(maxsize=1)
+def _pillow() -> ModuleType | None:
+    try:
+        return import_module("PIL.Image")
+    except ImportError:
+        return None
+
+
 def decode(content: bytes) -> np.ndarray:
     """Picture bytes to a (height, width, channels) array of 8-bit values.
 
@@ -31,12 +40,9 @@ def decode(content: bytes) -> np.ndarray:
     it, uncompressed BMP and 8-bit PNG are read here; whole trees of other files go through
     ``sources.media.read_decoded_images``.
     """
-    try:
-        from PIL import Image
-    except ImportError:
-        pass
-    else:
-        pixels = np.asarray(Image.open(BytesIO(content)))
+    pillow = _pillow()
+    if pillow is not None:
+        pixels = np.asarray(pillow.open(BytesIO(content)))
         return pixels[:, :, None] if pixels.ndim == 2 else pixels
     if content.startswith(b"BM"):
         return _decode_bmp(content)

@@ -56,22 +56,23 @@ def hot_keys(df: DataFrame, key: str, share: float, reducers: int) -> list[Row]:
     """Keys holding more than ``share`` of the rows, with the number of copies each should get.
 
     One pass without a shuffle finds every such key among at most ``1 / share`` candidates, a
-    second counts the candidates. So the result is bounded whatever the size of ``df``.
+    second counts the candidates and all others together. So the result is bounded whatever the
+    size of ``df``.
     """
     keys = df.select(key).filter(F.col(key).isNotNull())
     found = keys.stat.freqItems([key], share)
-    candidates = found.select(F.explode(f"{key}_freqItems").alias(key))
+    candidates = found.select(F.explode(f"{key}_freqItems").alias(key), F.lit(True).alias(SALT))
     counts = (
-        keys.join(F.broadcast(candidates), key, "left_semi")
-        .groupBy(key)
+        keys.join(F.broadcast(candidates), key, "left")
+        .groupBy(F.when(F.col(SALT), F.col(key)).alias(key))
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    floor = max(int(df.count() * share), 1)
+    floor = max(int(sum(row["n"] for row in counts) * share), 1)
     return [
         Row(**{key: row[key], COPIES: min(-(-row["n"] // floor), reducers)})
         for row in counts
-        if row["n"] > floor
+        if row[key] is not None and row["n"] > floor
     ]
 
 

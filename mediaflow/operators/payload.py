@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from mediaflow.storage import arrow_path
 
 Fetcher = Callable[[str], bytes]
 
+REMEMBERED_BYTES = 64 * 1024 * 1024
+
 
 class DuplicatePayload(ValueError):
     """A payload table has several rows for one reference."""
@@ -86,6 +90,34 @@ def file_fetcher(root: str) -> Fetcher:
     return fetch
 
 
+def remembered(call: Callable[[object], object], limit_bytes: int) -> Callable[[object], object]:
+    """Keep the latest results of a call within a number of bytes. Failures are not kept."""
+    held: OrderedDict[object, object] = OrderedDict()
+    lock = Lock()
+    room = limit_bytes
+
+    def run(argument: object) -> object:
+        nonlocal room
+        with lock:
+            if argument in held:
+                held.move_to_end(argument)
+                return held[argument]
+        value = call(argument)
+        with lock:
+            if argument not in held:
+                held[argument] = value
+                room -= _size(argument) + _size(value)
+            while room < 0:
+                room += sum(map(_size, held.popitem(last=False)))
+        return value
+
+    return run
+
+
+def _size(value: object) -> int:
+    return value.nbytes if hasattr(value, "nbytes") else len(value)
+
+
 def guarded(call: Callable[[object], object]) -> Callable[[object], tuple[object, str | None]]:
     """Turn a call that may fail into (value, None) or (None, error text)."""
 
@@ -113,7 +145,8 @@ def map_references(
 ) -> DataFrame:
     """Append ``call(reference)`` and its error text to every row, in Arrow batches.
 
-    A reference repeated within a batch is called once. Calls run in a small thread pool, since
+    A reference repeated within a chunk is called once, and latest results are kept, so that a
+    reference of many rows costs about one call per task. Calls run in a small thread pool, since
     they mostly wait. Values leave in chunks of ``chunk_rows`` so that large ones never pile up to
     a whole input batch.
     """
@@ -122,9 +155,9 @@ def map_references(
     )
     position = df.columns.index(ref_col)
     names = schema.fieldNames()
-    safe_call = guarded(call)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        safe_call = guarded(remembered(call, REMEMBERED_BYTES))
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for batch in batches:
                 for start in range(0, batch.num_rows, chunk_rows):

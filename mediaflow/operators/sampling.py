@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaflow.functions.hashing import seeded_digest, seeded_uniform
+from mediaflow.functions.hashing import drawn_below, seeded_digest
 from mediaflow.schemas import require_columns
 
 
@@ -53,14 +53,14 @@ def split_column(
 ) -> Column:
     """Name of the part a key belongs to; parts take shares in proportion to their weights."""
     column = F.col(key) if isinstance(key, str) else key
-    draw = seeded_uniform(column, seed)
+    digest = seeded_digest(column, seed)
     total = float(sum(weights.values()))
     names = list(weights)
     reached = 0.0
     chosen: Column | None = None
     for name in names[:-1]:
         reached += weights[name]
-        hit = draw < F.lit(reached / total)
+        hit = drawn_below(digest, reached / total)
         chosen = F.when(hit, name) if chosen is None else chosen.when(hit, name)
     return F.lit(names[-1]) if chosen is None else chosen.otherwise(names[-1])
 

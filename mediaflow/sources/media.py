@@ -79,13 +79,16 @@ def write_files(df: DataFrame, root: str, name_col: str, content_col: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = arrow_path(root)
+        folders: set[str] = set()
         for batch in batches:
             names = batch.column(0).to_pylist()
             sizes = []
             for name, content in zip(names, batch.column(1)):
                 target = f"{base}/{name}"
                 folder, _, leaf = target.rpartition("/")
-                filesystem.create_dir(folder, recursive=True)
+                if folder not in folders:
+                    filesystem.create_dir(folder, recursive=True)
+                    folders.add(folder)
                 partial = f"{folder}/.{leaf}.{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(partial) as stream:
                     stream.write(content.as_py())

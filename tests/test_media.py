@@ -204,6 +204,47 @@ def test_one_call_per_row_also_under_a_filter(spark, tree):
     assert calls.value == 24
 
 
+def test_latest_results_are_kept_within_bytes():
+    calls: list[str] = []
+
+    def call(argument: str) -> bytes:
+        calls.append(argument)
+        if argument == "bad":
+            raise ValueError("no")
+        return b"x" * 10
+
+    run = payload.remembered(call, 28)
+    for argument in ("a", "b", "a", "c", "a", "b"):
+        assert run(argument) == b"x" * 10
+    assert calls == ["a", "b", "c", "b"]
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            run("bad")
+    assert calls[-2:] == ["bad", "bad"]
+    assert payload.remembered(call, 0)("a") == b"x" * 10
+
+
+def test_hot_reference_is_fetched_once_per_task(spark, tree):
+    calls = spark.sparkContext.accumulator(0)
+    fetch = payload.file_fetcher(f"file://{tree[0]}")
+
+    def counted(reference: str) -> bytes:
+        calls.add(1)
+        return fetch(reference)
+
+    refs = spark.range(1000).select(F.lit("cat/b.png").alias("ref")).coalesce(2)
+    fetched = payload.fetch_payload(refs, "ref", counted)
+    assert fetched.filter(F.col("error").isNull()).count() == 1000
+    assert calls.value == fetched.rdd.getNumPartitions()
+
+
+def test_fetch_by_url(tree):
+    fetch = payload.http_fetcher(f"file://{tree[0]}/", attempts=2)
+    assert fetch("cat/b.png") == png(tree[1]["cat/b"])
+    with pytest.raises(OSError):
+        fetch("cat/none.png")
+
+
 def test_materialised_table_has_the_declared_type(spark, tree):
     refs = spark.createDataFrame([("cat/b.png", 1)], "accessuri string, contaminated int")
     rows = images.materialise_images(

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mediaflow.functions import tensors
-from mediaflow.functions.hashing import seeded_uniform
+from mediaflow.functions.hashing import drawn_below, seeded_digest, seeded_uniform
 
 QUICK = settings(
     max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -108,6 +108,15 @@ def test_softmax_of_large_scores(spark):
     assert one(spark, [1000.0, 1000.0], tensors.softmax("x")) == [0.5, 0.5]
 
 
+@pytest.mark.parametrize("share", [0.0, 1 / 3, 0.8, 0.999999, 1.0])
+def test_draws_below_a_share_are_those_of_the_number(spark, share):
+    key = F.col("id")
+    differ = spark.range(3000).filter(
+        drawn_below(seeded_digest(key, 5), share) != (seeded_uniform(key, 5) < share)
+    )
+    assert differ.count() == 0
+
+
 def test_uniform_draws_spread_evenly(spark):
     keys = spark.range(4000).select(*[seeded_uniform(F.col("id"), 5, w).alias(f"w{w}") for w in (0, 3)])
     row = keys.agg(F.avg("w0"), F.avg("w3"), F.corr("w0", "w3"), F.min("w0"), F.max("w0")).first()
