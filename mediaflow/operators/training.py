@@ -111,7 +111,7 @@ class _NetworkParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
         TypeConverters.toInt,
     )
     numWorkers = Param(
-        Params._dummy(), "numWorkers", "partitions to train on; 0 keeps those of the input",
+        Params._dummy(), "numWorkers", "partitions to train on; 0 for one per core of the cluster",
         TypeConverters.toInt,
     )
     epochs = Param(Params._dummy(), "epochs", "passes over the data", TypeConverters.toInt)
@@ -149,7 +149,7 @@ class _NetworkParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
             exchange="average",
             exchangeSettings="{}",
             numClasses=0,
-            numWorkers=8,
+            numWorkers=0,
             epochs=20,
             batchSize=32,
             validationSplit=0.0,
@@ -254,8 +254,7 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
             )
         rows = self._training_rows(dataset)
         shared_dir(rows.sparkSession)
-        if get("numWorkers") > 0:
-            rows = rows.repartition(get("numWorkers"))
+        rows = self._dealt_out(rows)
         # Every epoch reads these rows again: written once, they outlive lost executors.
         rows = rows.checkpoint(eager=True)
         self._check(rows, made, classes)
@@ -314,6 +313,19 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
             held_out.alias("held_out"),
         )
 
+    def _dealt_out(self, rows: DataFrame) -> DataFrame:
+        """One partition per worker.
+
+        A given number deals the rows out evenly. Otherwise an input with more partitions than the
+        cluster has cores is merged without a shuffle, so that each core trains one set of weights.
+        """
+        if self.getOrDefault("numWorkers") > 0:
+            return rows.repartition(self.getOrDefault("numWorkers"))
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() > cores:
+            return rows.coalesce(cores)
+        return rows.repartition(cores)
+
     @staticmethod
     def _check(rows: DataFrame, made, classes: int) -> None:
         width = F.size("features")

@@ -348,6 +348,16 @@ def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.round("accuracy", 9).alias("accuracy"))
 
 
+@query(
+    "overall_precision",
+    f"""select round(count(*) filter (label = prediction)::double / count(prediction), 9)
+    as precision from ({PREDICTED_SQL})""",
+)
+def overall_precision(spark: SparkSession, folder: str) -> DataFrame:
+    found = evaluate.overall_precision(predictions(spark, folder))
+    return found.select(F.round("precision", 9).alias("precision"))
+
+
 @query(
     "precision_recall",
     f"""select class, n_hit, n_predicted, n_true,

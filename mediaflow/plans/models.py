@@ -15,6 +15,7 @@ from mediaflow.operators.training import AveragedNetwork, AveragedNetworkModel
 from mediaflow.plans.arrays import CLASSES, PIXELS_SQL, SIDE, pixel_rows
 from mediaflow.plans.pictures import picture_rows
 from mediaflow.plans.registry import query, table
+from mediaflow.storage import scratch_path
 
 RATE = 0.5
 LINEAR = {
@@ -99,21 +100,37 @@ def exchange_train(spark: SparkSession, folder: str) -> DataFrame:
     return weights.withColumn("weight", F.round("weight", 9))
 
 
-@query(
-    "predict_classes",
-    """with x as (select vec_id, unnest(range(64)) as d, unnest(embedding)::double as v
+PREDICT_SQL = """with x as (select vec_id, unnest(range(64)) as d, unnest(embedding)::double as v
     from embeddings), z as (select vec_id, c, sum(v * (((d * 7 + c * 3) % 11 - 5) / 10.0::double)) as z
     from x, (select unnest(range(10)) as c) group by vec_id, c)
-    select vec_id, arg_max(c, z)::int as prediction from z group by vec_id""",
-)
-def predict_classes(spark: SparkSession, folder: str) -> DataFrame:
+    select vec_id, arg_max(c, z)::int as prediction from z group by vec_id"""
+
+
+def _linear_model() -> AveragedNetworkModel:
     d, c = np.meshgrid(np.arange(64), np.arange(CLASSES), indexing="ij")
     weights = np.concatenate([(((d * 7 + c * 3) % 11 - 5) / 10).ravel(), np.zeros(CLASSES)])
-    model = AveragedNetworkModel.of(LINEAR, weights, featuresCol="embedding")
+    return AveragedNetworkModel.of(LINEAR, weights, featuresCol="embedding")
+
+
+def _predicted(model: AveragedNetworkModel, spark: SparkSession, folder: str) -> DataFrame:
     scored = model.transform(table(spark, folder, "embeddings"))
     return scored.select("vec_id", F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("predict_classes", PREDICT_SQL)
+def predict_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes by a linear network with set weights."""
+    return _predicted(_linear_model(), spark, folder)
+
+
+@query("model_roundtrip", PREDICT_SQL)
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The same classes by the same network, saved and loaded."""
+    path = scratch_path(spark, "model")
+    _linear_model().save(path)
+    return _predicted(AveragedNetworkModel.load(path), spark, folder)
+
+
 SMALL_CONV = {
     "input": [SIDE, SIDE, 3],
     "layers": [

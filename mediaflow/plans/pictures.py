@@ -95,16 +95,30 @@ def image_source(spark: SparkSession, folder: str) -> DataFrame:
     e.vec_id is null as failed from documents d left join embeddings e on e.vec_id = d.doc_id""",
 )
 def fetch_payload(spark: SparkSession, folder: str) -> DataFrame:
+    return _fetched(spark, folder).select(
+        "doc_id",
+        F.octet_length("payload").alias("n_bytes"),
+        F.col("error").isNotNull().alias("failed"),
+    )
+
+
+@query(
+    "failure_counts",
+    """select count(*) as n_rows, count(*) filter (e.vec_id is null) as n_failed
+    from documents d left join embeddings e on e.vec_id = d.doc_id""",
+)
+def failure_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return payload.failure_counts(_fetched(spark, folder))
+
+
+def _fetched(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads for every document, of which those without an embedding have no file."""
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
     scan = table(spark, folder, "documents").select("doc_id")
     refs = spread(scan, spark.sparkContext.defaultParallelism).select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("reference")
     )
-    return payload.fetch_payload(refs, "reference", fetch).select(
-        "doc_id",
-        F.octet_length("payload").alias("n_bytes"),
-        F.col("error").isNotNull().alias("failed"),
-    )
+    return payload.fetch_payload(refs, "reference", fetch)
 
 
 @query(

@@ -309,6 +309,15 @@ def test_estimator_save_and_load(spark):
     assert again.getOrDefault("optimizer") == "adagrad"
 
 
+@pytest.mark.parametrize("given, before, after", [(3, 7, 3), (0, 2, 4), (0, 9, 4)])
+def test_rows_are_dealt_out_to_workers(points, given, before, after):
+    rows = points.repartition(before)
+    dealt = AveragedNetwork(spec=LINEAR, numWorkers=given)._dealt_out(rows)
+    assert dealt.rdd.getNumPartitions() == after
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Repartition")
+
+
 def test_weight_table(spark):
     model = AveragedNetworkModel.of(LINEAR, np.arange(9.0))
     rows = model.weight_table(spark).orderBy("layer", "pos").collect()
