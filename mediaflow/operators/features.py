@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mediaflow.functions.tensors import to_array, to_vector
 
-CHUNK = 1024
+# Spark hashes up to 128 groups per task and sorts beyond, so 2**19 positions stay hashed.
+CHUNK = 4096
 
 
 def chunked(df: DataFrame, values: str, chunk: int = CHUNK) -> DataFrame:

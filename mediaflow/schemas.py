@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Fixed value: the metadata standard's name of the title field.
 TITLE_FIELD = "dcterms:title"
 
 MEDIA = T.StructType(

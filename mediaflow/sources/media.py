@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.operators.features import string_index
+from mediaflow.operators.features import string_indexer
 from mediaflow.operators.images import flatten_rasters
 from mediaflow.shipping import ship_package
 from mediaflow.storage import arrow_path
@@ -35,9 +35,19 @@ def read_image_files(spark: SparkSession, root: str, pattern: str = "*") -> Data
     return files.select("path", class_of_path("path").alias("class"), "length", "content")
 
 
-def with_class_id(df: DataFrame, class_col: str = "class", id_col: str = "class_id") -> DataFrame:
-    """Number the classes in alphabetical order, from 0."""
-    indexed, _ = string_index(df, class_col, "__index", "alphabetAsc")
+def with_class_id(
+    df: DataFrame,
+    class_col: str = "class",
+    id_col: str = "class_id",
+    like: DataFrame | None = None,
+) -> DataFrame:
+    """Number the classes in alphabetical order, from 0.
+
+    For a validation tree, ``like`` is the training tree whose numbers hold; a class it lacks is an
+    error.
+    """
+    indexer = string_indexer(class_col, "__index", "alphabetAsc")
+    indexed = indexer.fit(df if like is None else like).transform(df)
     return indexed.withColumn(id_col, F.col("__index").cast("int")).drop("__index")
 
 

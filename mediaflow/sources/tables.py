@@ -19,6 +19,7 @@ from mediaflow.functions.tensors import (
 from mediaflow.operators.sampling import random_order
 from mediaflow.schemas import require_columns, require_schema
 
+# The first field of header lines, and the label of rows that have none.
 HEADER_TOKEN = "id"
 UNKNOWN_LABEL = "Class_1"
 

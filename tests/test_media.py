@@ -147,13 +147,19 @@ def test_classes_come_from_folders(spark, tree):
     files = media.with_class_id(media.read_image_files(spark, str(tree[0])))
     found = rows_of(files.select("class", "class_id").distinct())
     assert found == [("cat", 0), ("dog", 1)]
+    dogs = files.filter("class = 'dog'").drop("class_id")
+    numbered = media.with_class_id(dogs, like=files.drop("class_id"))
+    assert rows_of(numbered.select("class_id").distinct()) == [(1,)]
+    with pytest.raises(Exception, match="Unseen label"):
+        media.with_class_id(files.drop("class_id"), like=dogs).select("class_id").collect()
     narrow = plan_of(media.read_image_files(spark, str(tree[0])).select("class", "length"))
     assert "content" not in narrow.split("ReadSchema")[-1]
 
 
 def test_image_source_gives_red_green_blue(spark, tree):
     root, pictures = tree
-    found = {row["path"].rsplit("/", 1)[1]: row for row in media.read_decoded_images(spark, str(root)).collect()}
+    rows = media.read_decoded_images(spark, str(root)).collect()
+    found = {row["path"].rsplit("/", 1)[1]: row for row in rows}
     for name, pixels in pictures.items():
         row = found[name.split("/")[1] + ".png"]
         assert row["class"] == name.split("/")[0]
@@ -194,9 +200,8 @@ def test_one_call_per_row_also_under_a_filter(spark, tree):
         calls.add(1)
         return fetch(reference)
 
-    refs = spark.range(40).select(
-        F.col("id"), F.when(F.col("id") % 2 == 0, "cat/b.png").otherwise(F.concat(F.lit("x"), "id")).alias("ref")
-    ).repartition(4, "id")
+    reference = F.when(F.col("id") % 2 == 0, "cat/b.png").otherwise(F.concat(F.lit("x"), "id"))
+    refs = spark.range(40).select("id", reference.alias("ref")).repartition(4, "id")
     rows = images.materialise_images(refs, "ref", counted, 4, 4, parallel=1)
     kept = rows.filter(F.col("imgnpa").isNotNull())
     assert kept.count() == 20
