@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 HOT_KEY_SHARE = 0.001
 ROW_OVERHEAD_BYTES = 64
+# Fixed value: the size Spark assumes for a table it knows nothing about.
+NO_ESTIMATE_BYTES = 2**63 - 1
 
 SALT = "__salt"
 COPIES = "__copies"
@@ -40,11 +42,17 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
     """Whether the whole table stays under the limit.
 
     Spark's estimate from the file sizes turns away tables too large to be worth reading for this.
-    It can be too low for compressed files, so what passes is measured by one aggregate.
+    Where it has none, as for rows handed over by the driver, counting as many rows as could fit
+    does. An estimate can be too low for compressed files, so what passes is measured by one
+    aggregate.
     """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > limit_bytes:
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if limit_bytes < estimate < NO_ESTIMATE_BYTES:
         return False
+    if estimate >= NO_ESTIMATE_BYTES:
+        most = limit_bytes // ROW_OVERHEAD_BYTES
+        if df.limit(most + 1).count() > most:
+            return False
     row_bytes = F.lit(ROW_OVERHEAD_BYTES).cast("bigint")
     for field in df.schema.fields:
         row_bytes = row_bytes + _column_bytes(field)

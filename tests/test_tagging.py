@@ -70,6 +70,7 @@ def test_tag_scans_the_records_once_and_broadcasts_small_labels(spark, media, la
     plan = plan_of(tagged)
     assert plan.count("FileScan parquet") == 1
     assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and joins.SALT not in plan
 
 
 def test_counts_per_label(media, labels):
@@ -131,3 +132,7 @@ def test_broadcast_needs_a_measured_size(spark):
     rows = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("text"))
     assert joins.fits_broadcast(rows, 20_000)
     assert not joins.fits_broadcast(rows, 9_000)
+    given = spark.createDataFrame([("x" * 1000,)] * 10, "text string")
+    assert joins.fits_broadcast(given, 20_000)
+    assert not joins.fits_broadcast(given, 9_000)
+    assert not joins.fits_broadcast(given, 9 * joins.ROW_OVERHEAD_BYTES)
