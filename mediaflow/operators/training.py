@@ -29,7 +29,7 @@ from pyspark.ml.util import (
     MLWritable,
     MLWriter,
 )
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +70,7 @@ def _run_epoch(rows: DataFrame, made, flat: np.ndarray, settings: dict, epoch: i
         .agg(vector_to_array(mean).alias("weights"), *[F.sum(name).alias(name) for name in SUMS])
         .collect()
     )
-    shared.unpersist()
+    shared.destroy()
     merged.sort(key=lambda row: row["piece"])
     averaged = np.concatenate([np.asarray(row["weights"]) for row in merged])
     return averaged, merged[0].asDict()
@@ -82,7 +82,7 @@ def _measure(rows: DataFrame, made, flat: np.ndarray, settings: dict) -> dict:
     task = EpochTask(made, shared, {**settings, "train": False}, 0)
     sums = rows.mapInArrow(task, PIECE_SCHEMA).agg(*[F.sum(name).alias(name) for name in SUMS])
     found = sums.first().asDict()
-    shared.unpersist()
+    shared.destroy()
     return found
 
 
@@ -389,13 +389,15 @@ class AveragedNetworkModel(Model, _NetworkParams, MLReadable, MLWritable):
 
     def weight_table(self, spark: SparkSession) -> DataFrame:
         """Weights as rows (layer, pos, weight)."""
-        rows = [
-            Row(layer=i, pos=at, weight=float(self.weights[start + at]))
-            for i, (start, shape, bias) in enumerate(self._plan().slots)
+        pieces = [
+            (layer, at - start, self.weights[at : min(at + PIECE, bias + shape[1])].tolist())
+            for layer, (start, shape, bias) in enumerate(self._plan().slots)
             if shape
-            for at in range(bias - start + shape[1])
+            for at in range(start, bias + shape[1], PIECE)
         ]
-        return spark.createDataFrame(rows, "layer int, pos int, weight double")
+        rows = spark.createDataFrame(pieces, "layer int, start int, weights array<double>")
+        weights = rows.select("layer", "start", F.posexplode("weights").alias("at", "weight"))
+        return weights.select("layer", (F.col("start") + F.col("at")).alias("pos"), "weight")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         get = self.getOrDefault

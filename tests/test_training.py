@@ -322,3 +322,9 @@ def test_weight_table(spark):
     model = AveragedNetworkModel.of(LINEAR, np.arange(9.0))
     rows = model.weight_table(spark).orderBy("layer", "pos").collect()
     assert [row["weight"] for row in rows] == list(range(9))
+    wide = network.dense_spec(100, 3, (90,), 0)
+    made = network.plan(wide)
+    rows = AveragedNetworkModel.of(wide, np.arange(made.size)).weight_table(spark).collect()
+    first = sorted((row["pos"], row["weight"]) for row in rows if row["layer"] == 0)
+    assert first == [(i, float(i)) for i in range(9090)]
+    assert len(rows) == made.size
