@@ -28,15 +28,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends, and lost executors cost no recomputing.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; deleted when the driver's program ends."""
+    path = scratch_path(spark, f"llm-{name}")
+    atexit.register(_delete, spark, path)
+    return path
 
-    The files are deleted when the driver's program ends.
-    """
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends, and lost executors cost no recomputing."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import chat, mixing
-from mediaflow.llm.common import read
+from mediaflow.llm import attribution, binary, chat, mixing
+from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,29 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+# Fixed value: ids of that vocabulary.
+VOCABULARY = 50_257
+
+
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    # Without a separator, tokens do cross the seams between the fields.
+    counts = attribution.attributed(documents, "doc_id", ["source", "lang", "text"], tokenizer_path(), separator="")
+    return counts.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    binary.write_tokens(read(spark, folder, "documents"), path, tokenizer_path(), VOCABULARY, "doc_id", "text")
+    return binary.read_tokens(spark, path)
