@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from mediaflow.storage import scratch_path
 
@@ -43,6 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: StructType, kept: list[str], ddl: str) -> StructType:
+    """The fields of the kept columns, followed by further ones."""
+    return StructType([*[schema[name] for name in kept], *StructType.fromDDL(ddl).fields])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or a longer one where the table already has such a column."""
     taken = {column.lower() for column in df.columns}

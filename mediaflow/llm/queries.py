@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, chat, mixing
+from mediaflow.llm import attribution, binary, chat, language, mixing, winnow
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,51 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
     binary.write_tokens(read(spark, folder, "documents"), path, tokenizer_path(), VOCABULARY, "doc_id", "text")
     return binary.read_tokens(spark, path)
+
+
+@query("op3_language")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = language.learned(documents.filter(~language.held_out("doc_id")), "text", "lang")
+    return language.identified(documents.select("doc_id", "text"), "text", profiles).select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score"
+    )
+
+
+WINNOW_SQL = r"""
+with words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+items as (
+  select item_id, w, least(len(w), 10) as width
+  from (select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from benchmark) where len(w) > 0),
+item_windows as (
+  select distinct item_id, width, array_to_string(w[i:i + width - 1], ' ') as win
+  from (select *, unnest(range(1, len(w) - width + 2)) as i from items)),
+widths as (select distinct width from items),
+doc_windows as (
+  select doc_id, width, i, array_to_string(w[i:i + width - 1], ' ') as win
+  from (select doc_id, w, width, unnest(range(1, len(w) - width + 2)) as i from words, widths)),
+hits as (select doc_id, d.width, i, item_id from doc_windows d join item_windows t on d.width = t.width and d.win = t.win),
+hit_words as (select doc_id, count(distinct i + k)::bigint as n_hit
+  from (select doc_id, i, unnest(range(0, width)) as k from hits) group by doc_id),
+hit_items as (select doc_id, count(*)::bigint as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+  from (select distinct doc_id, item_id from hits) group by doc_id)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words w left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+
+@query("op6_decontaminate", WINNOW_SQL)
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    found = winnow.searched(documents, read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        winnow.covered_words().alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+    ).withColumn("contaminated", F.col("n_hit") > 0)
