@@ -144,6 +144,21 @@ def word_spans(batch: Bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.flatnonzero(ends) + 1, np.searchsorted(first, batch.bounds)
 
 
+STEP = U64(0xC2B2AE3D27D4EB4F)
+
+
+def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` words from each word on."""
+    count = len(words) - width + 1
+    if count <= 0:
+        return words[:0]
+    value = words[:count].copy()
+    for i in range(1, width):
+        value *= STEP
+        value += words[i : i + count]
+    return mix(value)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """ASCII capitals made small."""
     return _LOWER[data]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, chat, language, mixing, winnow
+from mediaflow.llm import attribution, binary, chat, language, minhash, mixing, winnow
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,31 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+SHINGLE_SQL = r"""
+with recursive words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+'), []) as w from documents),
+shingles as (
+  select distinct doc_id, s from (
+    select doc_id, w[i] || ' ' || w[i + 1] as s from (select *, unnest(range(1, len(w))) as i from words)
+    union all select doc_id, w[1] from words where len(w) = 1)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id),
+links as (
+  select a, b from common c join sizes x on c.a = x.doc_id join sizes y on c.b = y.doc_id
+  where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from words
+  union select r.doc_id, l.b from reach r join links l on r.other = l.a)
+select w.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, w.doc_id = min(other) as kept
+from words w join reach r using (doc_id) left join sizes using (doc_id) group by w.doc_id
+"""
+
+
+@query("op8_near_duplicates", SHINGLE_SQL)
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents"))

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from mediaflow.llm.common import (
     ALPHANUMERIC,
+    STEP,
     Bytes,
     PrefixHash,
     byte_passes,
     extended,
+    gram_hashes,
     lowered,
     mix,
     sliding_min,
@@ -42,9 +44,6 @@ WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
 RESULTS = ("n_words", "hits", "items")
 
-_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
 def word_hashes(batch: Bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash per word, and for each row the words before it."""
     data = lowered(batch.data)
@@ -52,18 +51,6 @@ def word_hashes(batch: Bytes) -> tuple[np.ndarray, np.ndarray]:
     return PrefixHash(data).spans(starts, ends), cuts
 
 
-def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` words from each word on."""
-    count = len(words) - width + 1
-    if count <= 0:
-        return words[:0]
-    value = words[:count].copy()
-    for i in range(1, width):
-        value *= _STEP
-        value += words[i : i + count]
-    return mix(value)
-
-
 class ItemBlock:
     """Windows of some benchmark items, to be looked up by hash."""
 
@@ -114,7 +101,7 @@ class ItemBlock:
                 spans = words[candidates[:, None] + np.arange(width)]
                 value = spans[:, 0].copy()
                 for i in range(1, width):
-                    value = value * _STEP + spans[:, i]
+                    value = value * STEP + spans[:, i]
                 value = mix(value)
             else:
                 candidates = np.flatnonzero(inside)
