@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, chat, language, minhash, mixing, winnow
+from mediaflow.llm import attribution, binary, chat, imatch, language, minhash, mixing, winnow
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,19 @@ from words w join reach r using (doc_id) left join sizes using (doc_id) group by
 @query("op8_near_duplicates", SHINGLE_SQL)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents"))
+
+
+@query("op10_fingerprints")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    in_band = imatch.band(documents, "text")
+    pairs = imatch.edited_pairs(documents, "doc_id", "text", in_band)
+    return pairs.select(
+        "doc_id",
+        F.col("n").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.as_text(F.col("print")).alias("fingerprint"),
+        imatch.as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        imatch.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+    )
