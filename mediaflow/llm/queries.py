@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, chat, imatch, language, minhash, mixing, winnow
+from mediaflow.llm import attribution, binary, boilerplate, chat, imatch, language, minhash, mixing, winnow
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,9 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         imatch.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         imatch.likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
+
+
+@query("op1_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return boilerplate.main_text(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
