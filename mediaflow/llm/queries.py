@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, boilerplate, chat, imatch, language, minhash, mixing, winnow
+from mediaflow.llm import attribution, binary, boilerplate, chat, imatch, language, minhash, mixing, repeats, winnow
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +239,15 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def main_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages")
     return boilerplate.main_text(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query("op5_repeats")
+def repeats_removed(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeats.without_repeats(read(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
