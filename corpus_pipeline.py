@@ -1,27 +1,64 @@
-"""From raw documents to packed token ids, stage by stage."""
+"""From raw documents to packed token ids, stage by stage. Each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import mixing
-from mediaflow.llm.common import stored
+from mediaflow.llm import binary, language, minhash, mixing, winnow
+from mediaflow.llm.common import read, scratch, stored
+from mediaflow.llm.queries import VOCABULARY, tokenizer_path
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; those without a letter go."""
+    profiles = language.learned(docs.filter(~language.held_out("doc_id")), "text", "lang")
+    told = language.identified(docs, "text", profiles)
+    return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least id; one row where rows share an id."""
+    dropped = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item."""
+    found = winnow.searched(docs, read(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("items") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixture(docs, "doc_id", "source", "text")
 
 
-STAGES = [("mix", mix)]
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the packed files, read back from them."""
+    path = scratch(spark, "corpus")
+    binary.write_tokens(docs, path, tokenizer_path(), VOCABULARY, "doc_id", "text")
+    return binary.read_tokens(spark, path)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token files", write_token_files),
+]
 
 # Language ID and tokenising have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
