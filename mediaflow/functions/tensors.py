@@ -84,7 +84,14 @@ def flatten_rows(nested: str | Column, depth: int = 1) -> Column:
 
 def channel(values: str | Column, index: int, channels: int = 3) -> Column:
     """Every ``channels``-th value starting at ``index``."""
-    return F.filter(_column(values), lambda _, i: i % channels == index)
+
+    def picked(flat: Column) -> Column:
+        places = F.sequence(F.lit(index), F.greatest(F.size(flat) - 1, F.lit(index)), F.lit(channels))
+        return F.when(
+            F.size(flat) > index, F.transform(places, lambda at: flat[at])
+        ).otherwise(F.slice(flat, F.lit(1), F.lit(0)))
+
+    return bound_once(_column(values), picked)
 
 
 def reshape_rows(values: str | Column, width: int) -> Column:
@@ -174,12 +181,14 @@ def scale_by(values: str | Column, divisor: float = 255.0) -> Column:
 
 
 def one_hot(label: str | Column, classes: int) -> Column:
-    """0/1 array of ``classes`` values; NULL for a NULL label."""
+    """0/1 array of ``classes`` values; NULL for a NULL label. A label outside fails the query."""
     label = _column(label)
     encoded = F.transform(
         _range(classes), lambda i: F.when(i == label.cast("int"), 1.0).otherwise(0.0)
     )
-    return F.when(label.isNotNull(), encoded)
+    problem = F.concat(F.lit("label outside the classes: "), label.cast("string"))
+    inside = (label >= 0) & (label < classes)
+    return F.when(label.isNull(), None).when(inside, encoded).otherwise(F.raise_error(problem))
 
 
 def arg_max(scores: str | Column) -> Column:
@@ -189,7 +198,8 @@ def arg_max(scores: str | Column) -> Column:
 
 
 def relu(value: str | Column) -> Column:
-    return F.greatest(_column(value), F.lit(0.0))
+    value = _column(value)
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
 
 
 def sigmoid(value: str | Column) -> Column:

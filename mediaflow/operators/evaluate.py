@@ -24,20 +24,24 @@ def confusion_wide(
 ) -> DataFrame:
     """Confusion matrix: one row per class of the truth, one column per predicted class.
 
-    Classes that never occur are shown with zeros, on both sides.
+    Classes that never occur are shown with zeros, on both sides. Whatever is NULL or none of the
+    classes counts in a row whose truth is NULL and in ``predicted_other``, so the cells sum to the rows.
     """
     spark = df.sparkSession
-    # Models predict doubles; as whole numbers they match the class names.
-    pairs = df.select(F.col(truth).cast("int"), F.col(predicted).cast("int"))
-    counted = (
-        pairs.groupBy(truth)
-        .pivot(predicted, list(classes))
-        .count()
-        .select(truth, *[F.col(f"`{c}`").alias(f"predicted_{c}") for c in classes])
-    )
-    rows = spark.createDataFrame([(int(c),) for c in classes], f"{truth} int")
-    full = rows.join(counted, truth, "left")
-    return full.fillna(0, [f"predicted_{c}" for c in classes])
+    known = [int(c) for c in classes]
+
+    def named(column: str) -> Column:
+        # Models predict doubles; as whole numbers they match the class names.
+        value = F.col(column).cast("int")
+        return F.when(value.isin(known), value)
+
+    columns = {f"predicted_{c}": F.count_if(F.col("__predicted") == c) for c in known}
+    columns["predicted_other"] = F.count_if(F.col("__predicted").isNull())
+    pairs = df.select(named(truth).alias("__truth"), named(predicted).alias("__predicted"))
+    counted = pairs.groupBy("__truth").agg(*[n.alias(name) for name, n in columns.items()])
+    rows = spark.createDataFrame([*[(c,) for c in known], (None,)], f"{truth} int")
+    full = rows.join(counted, F.col(truth).eqNullSafe(F.col("__truth")), "left").drop("__truth")
+    return full.fillna(0, list(columns))
 
 
 def accuracy(df: DataFrame, truth: str = "label", predicted: str = "prediction") -> DataFrame:
@@ -53,24 +57,23 @@ def precision_recall(
 ) -> DataFrame:
     """Per class: hits, predicted rows, true rows, precision and recall (NULL where undefined).
 
-    Works on the confusion table, which has at most k * k rows.
+    The rows are counted once by (truth, prediction), then those cells by either; a truth or prediction
+    that is none of the classes counts against the class on its other side.
     """
     cells = confusion_long(df, truth, predicted)
-    wanted = F.array(*[F.lit(int(c)) for c in classes])
-    spread = cells.withColumn("class", F.explode(wanted))
-    is_true = F.col(truth) == F.col("class")
-    is_predicted = F.col(predicted) == F.col("class")
-
-    def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("n")).otherwise(0))
-
+    by_truth = cells.groupBy(F.col(truth).cast("int").alias("class")).agg(
+        F.sum("n").alias("n_true"),
+        F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("n_hit"),
+    )
+    by_prediction = cells.groupBy(F.col(predicted).cast("int").alias("class")).agg(
+        F.sum("n").alias("n_predicted")
+    )
+    rows = df.sparkSession.createDataFrame([(int(c),) for c in classes], "class int")
     return (
-        spread.groupBy("class")
-        .agg(
-            total(is_true & is_predicted).alias("n_hit"),
-            total(is_predicted).alias("n_predicted"),
-            total(is_true).alias("n_true"),
-        )
+        rows.join(by_truth, "class", "left")
+        .join(by_prediction, "class", "left")
+        .fillna(0, ["n_hit", "n_predicted", "n_true"])
+        .select("class", "n_hit", "n_predicted", "n_true")
         .withColumn("precision", F.try_divide("n_hit", "n_predicted"))
         .withColumn("recall", F.try_divide("n_hit", "n_true"))
     )
@@ -79,8 +82,9 @@ def precision_recall(
 def overall_precision(
     df: DataFrame, truth: str = "label", predicted: str = "prediction"
 ) -> DataFrame:
-    """Micro-averaged precision over all classes, which for one label per row is the accuracy."""
-    return accuracy(df, truth, predicted).withColumnRenamed("accuracy", "precision")
+    """Micro-averaged precision over all classes: hits per row that has a prediction."""
+    hits = F.count_if(F.col(truth) == F.col(predicted))
+    return df.agg(F.try_divide(hits.cast("double"), F.count(predicted)).alias("precision"))
 
 
 def cross_entropy(probability_of_truth: str | Column) -> Column:
@@ -89,18 +93,18 @@ def cross_entropy(probability_of_truth: str | Column) -> Column:
         if isinstance(probability_of_truth, str)
         else probability_of_truth
     )
-    return -F.log(F.greatest(column, F.lit(LOSS_FLOOR)))
+    return F.when(column.isNotNull(), -F.log(F.greatest(column, F.lit(LOSS_FLOOR))))
 
 
 def categorical_log_loss(df: DataFrame, scores: str, label: str = "label") -> DataFrame:
-    """Mean cross-entropy of class scores that sum to 1, for integer labels."""
+    """Mean cross-entropy of class scores that sum to 1, for integer labels, over rows that have both."""
     of_truth = F.get(F.col(scores), F.col(label).cast("int"))
     return df.agg(F.avg(cross_entropy(of_truth)).alias("log_loss"))
 
 
 def binary_log_loss(df: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """Mean cross-entropy of the score for class 1, for labels 0 and 1."""
-    of_truth = F.when(F.col(label) == 1, F.col(score)).otherwise(1.0 - F.col(score))
+    """Mean cross-entropy of the score for class 1, for labels 0 and 1, over rows that have both."""
+    of_truth = F.when(F.col(label) == 1, F.col(score)).when(F.col(label) == 0, 1.0 - F.col(score))
     return df.agg(F.avg(cross_entropy(of_truth)).alias("log_loss"))
 
 

@@ -1,20 +1,26 @@
 """Equi-joins against a table with few rows per key, for any size of it and any skew of the other side.
 
 The lookup side is measured first. Under the size limit it is broadcast and the large side is not
-shuffled at all. Over it, both sides are shuffled on the key, and keys that hold a large share of
-the left rows are spread over several reducers: the left rows by a salt that depends on the row,
-the few lookup rows of those keys by one copy per salt.
+shuffled at all. Over it, both sides are shuffled on the key. Spark splits the partitions of hot keys at run
+time; where that is switched off, keys that hold a large share of the left rows are spread over several reducers:
+the left rows by a salt that depends on the row, the few lookup rows of those keys by one copy per salt.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-HOT_KEY_SHARE = 0.001
+# Rows that are drawn per reducer to look for hot keys. The draw steers the plan, never the result.
+DRAWN_PER_REDUCER = 1000
+DRAW_SEED = 29
 ROW_OVERHEAD_BYTES = 64
+# Files so many times below the limit are not measured: they are not packed more than this.
+MOST_COMPRESSION = 100
 # Fixed value: the size Spark assumes for a table it knows nothing about.
 NO_ESTIMATE_BYTES = 2**63 - 1
 
@@ -43,8 +49,8 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
 
     Spark's estimate from the file sizes turns away tables too large to be worth reading for this.
     Where it has none, as for rows handed over by the driver, counting as many rows as could fit
-    does. An estimate can be too low for compressed files, so what passes is measured by one
-    aggregate.
+    does. An estimate can be too low for compressed files, so what is not far below the limit is measured
+    by one aggregate.
     """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if limit_bytes < estimate < NO_ESTIMATE_BYTES:
@@ -53,6 +59,8 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
         most = limit_bytes // ROW_OVERHEAD_BYTES
         if df.limit(most + 1).count() > most:
             return False
+    elif estimate * MOST_COMPRESSION <= limit_bytes:
+        return True
     row_bytes = F.lit(ROW_OVERHEAD_BYTES).cast("bigint")
     for field in df.schema.fields:
         row_bytes = row_bytes + _column_bytes(field)
@@ -60,28 +68,27 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
     return total <= limit_bytes
 
 
-def hot_keys(df: DataFrame, key: str, share: float, reducers: int) -> list[Row]:
-    """Keys holding more than ``share`` of the rows, with the number of copies each should get.
+def hot_keys(df: DataFrame, key: str, reducers: int) -> list[Row]:
+    """Keys holding more than half of a reducer's fair share of the rows, and the copies each should get.
 
-    One pass without a shuffle finds every such key among at most ``1 / share`` candidates, a
-    second counts the candidates and all others together. So the result is bounded whatever the
-    size of ``df``.
+    Counted by a group-by over a sample whose size follows the number of reducers; at most two keys per
+    reducer can pass.
     """
     keys = df.select(key).filter(F.col(key).isNotNull())
-    found = keys.stat.freqItems([key], share)
-    candidates = found.select(F.explode(f"{key}_freqItems").alias(key), F.lit(True).alias(SALT))
-    counts = (
-        keys.join(F.broadcast(candidates), key, "left")
-        .groupBy(F.when(F.col(SALT), F.col(key)).alias(key))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
+    total = keys.count()
+    rate = min(1.0, DRAWN_PER_REDUCER * reducers / max(total, 1))
+    drawn = keys.sample(rate, DRAW_SEED) if rate < 1 else keys
+    floor = max(total * rate / (2 * reducers), 1)
+    counts = drawn.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor).collect()
+    return [Row(**{key: row[key], COPIES: min(math.ceil(row["n"] / floor), reducers)}) for row in counts]
+
+
+def _splits_skew(spark) -> bool:
+    """Whether Spark itself splits the partitions of hot keys at run time."""
+    return all(
+        spark.conf.get(name, "true") == "true"
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
     )
-    floor = max(int(sum(row["n"] for row in counts) * share), 1)
-    return [
-        Row(**{key: row[key], COPIES: min(-(-row["n"] // floor), reducers)})
-        for row in counts
-        if row[key] is not None and row["n"] > floor
-    ]
 
 
 def lookup_join(
@@ -90,7 +97,6 @@ def lookup_join(
     key: str,
     how: str = "inner",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
-    share: float = HOT_KEY_SHARE,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``key``; ``how`` is inner, left, or left_semi.
 
@@ -102,7 +108,7 @@ def lookup_join(
         return left.join(F.broadcast(right), key, how)
     spark = left.sparkSession
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = hot_keys(left, key, share, reducers)
+    rows = [] if _splits_skew(spark) else hot_keys(left, key, reducers)
     if not rows:
         return left.join(right, key, how)
     schema = T.StructType(

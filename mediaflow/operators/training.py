@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaflow.functions.hashing import drawn_below, seeded_digest
 from mediaflow.operators import network
 from mediaflow.operators.epoch import PIECE, SUMS, EpochTask, scored
 from mediaflow.schemas import SchemaError, require_columns
@@ -302,29 +303,27 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
         if not 0 <= share < 1:
             raise ValueError(f"validationSplit must be in [0, 1), not {share}")
         if share > 0:
-            source = F.col(get("idCol")) if get("idCol") else features
-            draw = F.pmod(F.xxhash64(source, F.lit(get("seed"))), F.lit(10_000))
-            held_out: Column = draw < F.lit(round(share * 10_000))
+            source = F.col(get("idCol")) if get("idCol") else features.cast("string")
+            held_out: Column = drawn_below(seeded_digest(source, get("seed")), share)
         else:
             held_out = F.lit(False)
+        # Without an id, copies of a row would all come to one worker: a draw of their own parts them.
+        deal = [F.col(get("idCol"))] if get("idCol") else [features, F.rand(get("seed"))]
         return dataset.select(
             features.alias("features"),
             F.col(get("labelCol")).cast("int").alias("label"),
             held_out.alias("held_out"),
+            F.xxhash64(F.lit(get("seed")), *deal).alias("deal"),
         )
 
     def _dealt_out(self, rows: DataFrame) -> DataFrame:
-        """One partition per worker.
+        """One partition per worker, by default one per core, in a random order that the seed settles.
 
-        A given number deals the rows out evenly. Otherwise an input with more partitions than the
-        cluster has cores is merged without a shuffle, so that each core trains one set of weights.
+        However the input lies, sorted or not, in few partitions or many, every worker gets a fair share
+        of all of it.
         """
-        if self.getOrDefault("numWorkers") > 0:
-            return rows.repartition(self.getOrDefault("numWorkers"))
-        cores = rows.sparkSession.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() > cores:
-            return rows.coalesce(cores)
-        return rows.repartition(cores)
+        workers = self.getOrDefault("numWorkers") or rows.sparkSession.sparkContext.defaultParallelism
+        return rows.repartition(workers, "deal").sortWithinPartitions("deal").drop("deal")
 
     @staticmethod
     def _check(rows: DataFrame, made, classes: int) -> None:

@@ -330,8 +330,10 @@ def confusion_long(spark: SparkSession, folder: str) -> DataFrame:
     + ", ".join(
         f"count(*) filter (prediction = {c}) as predicted_{c}" for c in range(CLASSES + 1)
     )
-    + f""" from (select unnest(range({CLASSES + 1})) as c) left join ({PREDICTED_SQL}) p
-    on p.label = c group by c""",
+    + f""", count(*) filter (p.vec_id is not null and coalesce(prediction not between 0 and {CLASSES}, true))
+    as predicted_other
+    from (select unnest(range({CLASSES + 1})) as c union all select null) left join ({PREDICTED_SQL}) p
+    on p.label is not distinct from c group by c""",
 )
 def confusion_wide(spark: SparkSession, folder: str) -> DataFrame:
     # One class more than there are, to show the zero row and column.
@@ -400,3 +402,75 @@ def binary_log_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = evaluate.binary_log_loss(rows, "score")
     return found.select(F.round("log_loss", 9).alias("log_loss"))
+
+
+# Every seventh prediction and score missing, every fifth label none of the classes.
+GAPS_SQL = f"""select vec_id, case when vec_id % 5 = 0 then {CLASSES} + 3 else label end as label,
+case when vec_id % 7 <> 0 then prediction end as prediction from ({PREDICTED_SQL})"""
+
+
+def predictions_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return predictions(spark, folder).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 5 == 0, CLASSES + 3).otherwise(F.col("label")).alias("label"),
+        F.when(F.col("vec_id") % 7 != 0, F.col("prediction")).alias("prediction"),
+    )
+
+
+@query(
+    "confusion_gaps",
+    "select c::int as label, "
+    + ", ".join(f"count(*) filter (prediction = {c}) as predicted_{c}" for c in range(CLASSES))
+    + f""", count(*) filter (p.vec_id is not null and prediction is null) as predicted_other
+    from (select unnest(range({CLASSES})) as c union all select null) left join ({GAPS_SQL}) p
+    on case when p.label < {CLASSES} then p.label end is not distinct from c group by c""",
+)
+def confusion_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.confusion_wide(predictions_with_gaps(spark, folder), range(CLASSES))
+
+
+@query(
+    "precision_gaps",
+    f"""select class, n_hit, n_predicted, n_true,
+    round(case when n_predicted > 0 then n_hit::double / n_predicted end, 9) as precision,
+    round(case when n_true > 0 then n_hit::double / n_true end, 9) as recall,
+    (select round(count(*) filter (label = prediction)::double / count(prediction), 9) from ({GAPS_SQL})) as overall
+    from (select c::int as class, (count(*) filter (label = c and prediction = c))::bigint as n_hit,
+    (count(*) filter (prediction = c))::bigint as n_predicted,
+    (count(*) filter (label = c))::bigint as n_true
+    from ({GAPS_SQL}), (select unnest(range({CLASSES})) as c) group by c)""",
+)
+def precision_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = predictions_with_gaps(spark, folder)
+    overall = evaluate.overall_precision(rows).select(F.round("precision", 9).alias("overall"))
+    found = evaluate.precision_recall(rows, range(CLASSES))
+    rounded = {name: F.round(name, 9) for name in ("precision", "recall")}
+    return found.withColumns(rounded).crossJoin(F.broadcast(overall))  # one row
+
+
+@query(
+    "log_loss_gaps",
+    """select round(avg(case when p is not null then -ln(greatest(case when is_late = 1 then p else 1 - p end,
+    1e-15::double)) end), 9) as log_loss from (
+    select case when l_linestatus = 'O' then 1 else 0 end as is_late,
+    case when l_linenumber <> 3 then 1 / (1 + exp(-(l_quantity - 25) / 10)) end as p from lineitem)""",
+)
+def log_loss_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    score = F.when(F.col("l_linenumber") != 3, tensors.sigmoid((F.col("l_quantity") - 25) / 10))
+    rows = table(spark, folder, "lineitem").select(
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("label"), score.alias("score")
+    )
+    found = evaluate.binary_log_loss(rows, "score")
+    return found.select(F.round("log_loss", 9).alias("log_loss"))
+
+
+@query(
+    "relu_gaps",
+    """select l_orderkey, l_linenumber, l_partkey,
+    case when l_linenumber <> 3 then greatest(l_quantity - 25, 0.0::double) end as value from lineitem""",
+)
+def relu_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    value = F.when(F.col("l_linenumber") != 3, F.col("l_quantity") - 25)
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", tensors.relu(value).alias("value")
+    )

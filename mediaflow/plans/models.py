@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaflow.functions.tensors import scale_by, to_vector
@@ -100,6 +100,44 @@ def exchange_train(spark: SparkSession, folder: str) -> DataFrame:
     return weights.withColumn("weight", F.round("weight", 9))
 
 
+@query("sorted_train", TWO_STEPS_SQL)
+def sorted_train(spark: SparkSession, folder: str) -> DataFrame:
+    """The same weights from rows that lie sorted by label in many partitions."""
+    rows = table(spark, folder, "embeddings").repartitionByRange(32, "label").sortWithinPartitions("label")
+    weights = _whole_batch_trainer(epochs=2).fit(rows).weight_table(spark)
+    return weights.withColumn("weight", F.round("weight", 9))
+
+
+# The first step of each rule from zero weights; g is the gradient, of which the plain step takes half.
+FIRST_STEPS = {
+    "adagrad": "0.01::double * g / (abs(g) + 1e-7::double)",
+    "rmsprop": "0.001::double * g / (sqrt(0.1::double) * abs(g) + 1e-7::double)",
+    "adam": """0.001::double * sqrt(0.001::double) / 0.1::double * 0.1::double * g
+        / (sqrt(0.001::double) * abs(g) + 1e-7::double)""",
+    "adadelta": "g * sqrt(1e-7::double) / sqrt(0.05::double * g * g + 1e-7::double)",
+}
+
+
+def _rule_query(rule: str) -> None:
+    @query(
+        f"rule_{rule}",
+        f"""{STEPS_SQL} select 0::int as layer, (d * 10 + c)::int as pos,
+        round(-({FIRST_STEPS[rule]}), 7) + 0.0::double as weight
+        from (select d, c, w / -{RATE}::double as g from first)""",
+    )
+    def first_step(spark: SparkSession, folder: str) -> DataFrame:
+        """Weights after one step of the rule over all rows."""
+        trainer = AveragedNetwork(
+            spec=LINEAR, featuresCol="embedding", optimizer=rule, batchSize=0, initial="zero", epochs=1, numWorkers=1
+        )
+        weights = trainer.fit(table(spark, folder, "embeddings")).weight_table(spark)
+        return weights.withColumn("weight", F.round("weight", 7) + F.lit(0.0))
+
+
+for _rule in FIRST_STEPS:
+    _rule_query(_rule)
+
+
 PREDICT_SQL = """with x as (select vec_id, unnest(range(64)) as d, unnest(embedding)::double as v
     from embeddings), z as (select vec_id, c, sum(v * (((d * 7 + c * 3) % 11 - 5) / 10.0::double)) as z
     from x, (select unnest(range(10)) as c) group by vec_id, c)
@@ -177,7 +215,19 @@ def cnn_scores(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("mlp_predict")
+# The rows of the test split: their keys and labels. Which class training predicts is not for SQL to say.
+HELD_OUT = "('0x' || substr(md5({key} || ':314'), 1, 8))::bigint / 4294967296.0::double >= 0.8::double"
+
+
+def _is_class(count: int) -> Column:
+    return F.col("prediction").isin([float(c) for c in range(count)]).alias("is_class")
+
+
+@query(
+    "mlp_predict",
+    f"""select vec_id, label::double as label, true as is_class from embeddings
+    where {HELD_OUT.format(key="vec_id::varchar")}""",
+)
 def mlp_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Spark's own perceptron, trained on one split and applied to the other."""
     rows = table(spark, folder, "embeddings").select(
@@ -185,10 +235,16 @@ def mlp_predict(spark: SparkSession, folder: str) -> DataFrame:
     )
     train, test = hash_split(rows, "vec_id", [80, 20], 314)
     trainer = MultilayerPerceptronClassifier(layers=[64, 32, CLASSES], maxIter=20, seed=314)
-    return trainer.fit(train).transform(test).select("vec_id", "label", "prediction")
+    return trainer.fit(train).transform(test).select("vec_id", "label", _is_class(CLASSES))
 
 
-@query("estimator_fit")
+@query(
+    "estimator_fit",
+    """select epoch::int as epoch, count(*) filter (u >= 0.15::double) as n,
+    count(*) filter (u < 0.15::double) as val_n, true as is_finite
+    from (select ('0x' || substr(md5(vec_id::varchar || ':0'), 1, 8))::bigint / 4294967296.0::double as u
+    from embeddings), (select unnest([1, 2, 3]) as epoch) group by epoch""",
+)
 def estimator_fit(spark: SparkSession, folder: str) -> DataFrame:
     """History of a dense network with ReLU and dropout, trained with a held-out share."""
     rows = table(spark, folder, "embeddings")
@@ -201,21 +257,28 @@ def estimator_fit(spark: SparkSession, folder: str) -> DataFrame:
         batchSize=128,
         validationSplit=0.15,
         idCol="vec_id",
+        seed=0,
     )
-    return trainer.fit(rows).history(spark)
+    finite = F.col("loss").between(0, 1e6) & F.col("val_loss").between(0, 1e6)
+    return trainer.fit(rows).history(spark).select("epoch", "n", "val_n", finite.alias("is_finite"))
 
 
-@query("cnn_predict")
+@query(
+    "cnn_predict",
+    f"""select vec_id, (label >= {CLASSES // 2})::int as label, true as is_class from embeddings
+    where {HELD_OUT.format(key="vec_id::varchar")}""",
+)
 def cnn_predict(spark: SparkSession, folder: str) -> DataFrame:
     """The three-block convolutional network on pictures resized to 32 x 32, for two classes."""
-    pictures = images.resize_pixels(
-        picture_rows(spark, folder), "pixels", (SIDE, SIDE), (32, 32)
-    ).select(
-        "vec_id",
-        (F.col("label") >= CLASSES // 2).cast("int").alias("label"),
-        scale_by("pixels").cast("array<float>").alias("features"),
+    # Split before resizing, so that each picture is resized for its own part only.
+    train, test = (
+        images.resize_pixels(part, "pixels", (SIDE, SIDE), (32, 32)).select(
+            "vec_id",
+            (F.col("label") >= CLASSES // 2).cast("int").alias("label"),
+            scale_by("pixels").cast("array<float>").alias("features"),
+        )
+        for part in hash_split(picture_rows(spark, folder), "vec_id", [80, 20], 314)
     )
-    train, test = hash_split(pictures, "vec_id", [80, 20], 314)
     trainer = AveragedNetwork(
         spec=network.conv_spec(32, 32, 2),
         optimizer="rmsprop",
@@ -223,10 +286,18 @@ def cnn_predict(spark: SparkSession, folder: str) -> DataFrame:
         batchSize=32,
         precision="single",
     )
-    return trainer.fit(train).transform(test).select("vec_id", "label", "prediction")
+    return trainer.fit(train).transform(test).select("vec_id", "label", _is_class(2))
 
 
-@query("staged_predict")
+@query(
+    "staged_predict",
+    f"""with lines as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id,
+    l_returnflag as category from lineitem),
+    parts as (select *, {HELD_OUT.format(key="id")} as held from lines),
+    ranks as (select category, (row_number() over (order by count(*) desc, category) - 1)::double as index_category
+    from parts where not held group by category)
+    select id, index_category, true as is_class from parts join ranks using (category) where held""",
+)
 def staged_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Label index, standardisation and network fitted as one unit on one split of the lines."""
     numbers = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -249,4 +320,4 @@ def staged_predict(spark: SparkSession, folder: str) -> DataFrame:
             ),
         ]
     )
-    return stages.fit(train).transform(test).select("id", "index_category", "prediction")
+    return stages.fit(train).transform(test).select("id", "index_category", _is_class(3))

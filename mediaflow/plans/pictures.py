@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.operators import images, payload
 from mediaflow.plans.arrays import SIDE, exploded
-from mediaflow.plans.registry import query, spread, table
+from mediaflow.plans.registry import query, table
 from mediaflow.sources import media
 from mediaflow.storage import scratch_path
 
@@ -36,7 +36,7 @@ def picture_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("embedding", lambda v: v.cast("double")),
         lambda v: F.array(_grey(127.5 + 127.5 * v), _grey(127.5 - 127.5 * v), _grey(255.0 * v * v)),
     )
-    scan = spread(table(spark, folder, "embeddings"), spark.sparkContext.defaultParallelism)
+    scan = table(spark, folder, "embeddings").repartition("vec_id")
     return scan.select("vec_id", "label", F.flatten(dots).alias("pixels"))
 
 
@@ -115,7 +115,7 @@ def _fetched(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads for every document, of which those without an embedding have no file."""
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
     scan = table(spark, folder, "documents").select("doc_id")
-    refs = spread(scan, spark.sparkContext.defaultParallelism).select(
+    refs = scan.repartition("doc_id").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("reference")
     )
     return payload.fetch_payload(refs, "reference", fetch)
@@ -190,7 +190,7 @@ TARGET_SIDE = 32
 def image_materialise(spark: SparkSession, folder: str) -> DataFrame:
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
     scan = table(spark, folder, "documents").select("doc_id")
-    refs = spread(scan, spark.sparkContext.defaultParallelism).select(
+    refs = scan.repartition("doc_id").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("accessuri")
     )
     rows = images.materialise_images(refs, "accessuri", fetch, TARGET_SIDE, TARGET_SIDE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.functions.hashing import seeded_uniform
 from mediaflow.operators import evaluate, features, payload, sampling, tagging
+from mediaflow.operators.joins import lookup_join
 from mediaflow.plans.registry import query, table
 from mediaflow.schemas import TITLE_FIELD
 from mediaflow.sources import tables
@@ -462,3 +463,17 @@ def sink_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     tables.write_table(tagged, path, overwrite=True, partition_by=["contaminated"])
     back = tables.read_table(spark, path)
     return back.groupBy("contaminated").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "join_over_limit",
+    """select l_orderkey, l_linenumber, l_partkey, p_name from (
+    select *, case when l_partkey % 3 = 0 then 1 else l_partkey end as k from lineitem)
+    left join part on p_partkey = k""",
+)
+def join_over_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """A lookup that is not broadcast, with a third of the rows on one key."""
+    key = F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(F.col("l_partkey")).cast("bigint")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key.alias("k"))
+    names = table(spark, folder, "part").select(F.col("p_partkey").alias("k"), "p_name")
+    return lookup_join(lines, names, "k", "left", limit_bytes=0).drop("k")

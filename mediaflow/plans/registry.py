@@ -26,13 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def spread(scan: DataFrame, at_least: int) -> DataFrame:
-    """Spread a scan with few splits over more tasks, for work that is heavy per row.
-
-    A table large enough to have the splits is left alone, so this never shuffles large data.
-    """
-    return scan if scan.rdd.getNumPartitions() >= at_least else scan.repartition(at_least)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -7,7 +7,6 @@ driver and executors share one machine, may fall back to a temporary folder.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyarrow import fs
@@ -22,9 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         root = spark.conf.get(CHECKPOINT_CONF, None)
         if not root:
-            if not context.master.startswith("local"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-            root = f"file://{tempfile.mkdtemp(prefix='mediaflow-')}"
+            root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         context.setCheckpointDir(root)
     # Spark adds a folder of this application to the root and its file system's scheme.
     root = context.getCheckpointDir().rstrip("/").rsplit("/", 1)[0]

@@ -63,7 +63,10 @@ def predicted(spark):
 
 def test_confusion_shows_classes_never_predicted(predicted):
     wide = evaluate.confusion_wide(predicted, [0, 1, 2])
-    assert rows_of(wide) == [(0, 2, 1, 0), (1, 1, 2, 0), (2, 1, 1, 0)]
+    expected = [(0, 2, 1, 0, 0), (1, 1, 2, 0, 0), (2, 1, 1, 0, 0), (None, 0, 0, 0, 0)]
+    assert rows_of(wide) == sorted(expected, key=repr)
+    few = rows_of(evaluate.confusion_wide(predicted, [0]))
+    assert sum(sum(row[1:]) for row in few) == predicted.count()
     doubles = predicted.withColumn("prediction", F.col("prediction").cast("double"))
     assert rows_of(evaluate.confusion_wide(doubles, [0, 1, 2])) == rows_of(wide)
     assert ("label", "prediction", "n") == tuple(evaluate.confusion_long(predicted).columns)

@@ -311,11 +311,23 @@ def test_estimator_save_and_load(spark):
 
 @pytest.mark.parametrize("given, before, after", [(3, 7, 3), (0, 2, 4), (0, 9, 4)])
 def test_rows_are_dealt_out_to_workers(points, given, before, after):
-    rows = points.repartition(before)
-    dealt = AveragedNetwork(spec=LINEAR, numWorkers=given)._dealt_out(rows)
+    trainer = AveragedNetwork(spec=LINEAR, numWorkers=given)
+    dealt = trainer._dealt_out(points.repartition(before).withColumn("deal", F.xxhash64("features")))
     assert dealt.rdd.getNumPartitions() == after
-    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.splitlines()[0].startswith("Repartition")
+    assert "deal" not in dealt.columns
+
+
+@pytest.mark.parametrize("partitions", [4, 32])
+def test_sorted_rows_train_as_well_in_any_number_of_partitions(spark, partitions):
+    draw = np.random.default_rng(5)
+    centres = np.array([[3.0, 0.0], [-3.0, 0.0], [0.0, 3.0]])
+    rows = [(i, (centres[i % 3] + draw.normal(0, 0.4, 2)).tolist(), i % 3) for i in range(1500)]
+    rows = spark.createDataFrame(rows, "id int, features array<double>, label int")
+    rows = rows.repartitionByRange(partitions, "label").sortWithinPartitions("label")
+    spec = network.dense_spec(2, 3, (8,), 0.0)
+    trainer = AveragedNetwork(spec=spec, epochs=6, batchSize=16, optimizerSettings={"rate": 0.1}, idCol="id")
+    scored = trainer.fit(rows).transform(rows)
+    assert scored.filter(F.col("label") == F.col("prediction")).count() / 1500 >= 0.98
 
 
 def test_weight_table(spark):
