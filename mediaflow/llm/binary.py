@@ -148,7 +148,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def document_ids(blocks: DataFrame, doc_id: int) -> np.ndarray:
     """The ids of one document: its block is found by the files' statistics, and only its bytes are unpacked."""
-    near = blocks.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    from_it = F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)  # NULL ids come first
+    near = blocks.filter(from_it & (F.col("last_doc") >= doc_id))
     hit = near.select("doc_ids", "doc_starts", "bits", "payload").filter(F.array_contains("doc_ids", doc_id)).first()
     if hit is None:
         raise KeyError(doc_id)
