@@ -121,8 +121,8 @@ class EpochTask:
         return pa.RecordBatch.from_arrays(columns, names=["piece", "weights", *SUMS])
 
 
-def scored(made, flat: np.ndarray, values: pa.Array, dtype: str) -> pa.Array:
-    """Class and outputs per row; NULL features give NULL for both."""
+def scored(made, flat: np.ndarray, values: pa.Array, dtype: str, with_scores: bool = True) -> pa.Array:
+    """Class per row, and its outputs if asked for; NULL features give NULL for both."""
     present = values.is_valid().to_numpy(zero_copy_only=False)
     prediction = np.full(len(values), np.nan)
     outputs = np.zeros((len(values), made.outputs))
@@ -131,8 +131,11 @@ def scored(made, flat: np.ndarray, values: pa.Array, dtype: str) -> pa.Array:
         found = [network.forward(made, flat, x[part])[0] for part in network.slices(made, len(x))]
         outputs[present] = np.concatenate(found)
         prediction[present] = network.classes_of(outputs[present])
+    classes = pa.array(prediction, mask=~present)
+    if not with_scores:
+        return pa.StructArray.from_arrays([classes], names=["prediction"])
     scores = [row if ok else None for row, ok in zip(outputs, present)]
     return pa.StructArray.from_arrays(
-        [pa.array(prediction, mask=~present), pa.array(scores, pa.list_(pa.float64()))],
+        [classes, pa.array(scores, pa.list_(pa.float64()))],
         names=["prediction", "scores"],
     )

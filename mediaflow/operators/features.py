@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,8 +122,20 @@ def standardize(
     with_mean: bool = True,
     with_std: bool = True,
 ) -> tuple[DataFrame, StandardScalerModel]:
-    """Scale an array column by its own statistics; the result is an array column."""
+    """Scale an array column by its own statistics; the result is an array column.
+
+    The statistics are merged by pieces of the arrays, not in one task; one mean and one standard
+    deviation per position come to the driver, and make Spark's own scaler model.
+    """
+    stats = feature_stats(df, values).select("pos", "n", "mean", "sd").orderBy("pos").toArrow()
+    counts = set(stats["n"].to_pylist())
+    if len(counts) != 1:
+        raise ValueError(f"column {values} has no arrays, or arrays of different lengths")
+    context = df.sparkSession.sparkContext
+    sd, mean = (_py2java(context, Vectors.dense(stats[name].to_numpy())) for name in ("sd", "mean"))
+    kind = context._jvm.org.apache.spark.ml.feature.StandardScalerModel
+    model = StandardScalerModel(kind(standard_scaler("in", "out").uid, sd, mean))
+    model._set(inputCol="__vector", outputCol="__scaled", withMean=with_mean, withStd=with_std)
     vectors = df.withColumn("__vector", to_vector(values))
-    model = standard_scaler("__vector", "__scaled", with_mean, with_std).fit(vectors)
     scaled = model.transform(vectors).withColumn(output_col, to_array("__scaled"))
     return scaled.drop("__vector", "__scaled"), model

@@ -40,8 +40,6 @@ from mediaflow.schemas import SchemaError, require_columns
 from mediaflow.shipping import ship_package
 from mediaflow.storage import shared_dir
 
-MAX_WEIGHTS = 64 * 1024 * 1024
-
 PIECE_SCHEMA = (
     "piece int, weights array<double>, n bigint, loss double, hits bigint, "
     "val_n bigint, val_loss double, val_hits bigint"
@@ -123,6 +121,16 @@ class _NetworkParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     validationSplit = Param(
         Params._dummy(), "validationSplit", "share of rows held out", TypeConverters.toFloat
     )
+    validationIndicatorCol = Param(
+        Params._dummy(), "validationIndicatorCol",
+        "boolean column, true for rows that only measure; instead of validationSplit, empty for none",
+        TypeConverters.toString,
+    )
+    maxWeights = Param(
+        Params._dummy(), "maxWeights",
+        "largest number of weights, since their average passes the driver (8 bytes each)",
+        TypeConverters.toInt,
+    )
     idCol = Param(
         Params._dummy(), "idCol",
         "column that settles which rows are held out; empty for the features themselves",
@@ -154,6 +162,8 @@ class _NetworkParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
             epochs=20,
             batchSize=32,
             validationSplit=0.0,
+            validationIndicatorCol="",
+            maxWeights=64 * 1024 * 1024,
             idCol="",
             initial="random",
             precision="double",
@@ -190,6 +200,8 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
         epochs=None,
         batchSize=None,
         validationSplit=None,
+        validationIndicatorCol=None,
+        maxWeights=None,
         idCol=None,
         initial=None,
         precision=None,
@@ -246,8 +258,8 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
     def _fit(self, dataset: DataFrame) -> AveragedNetworkModel:
         get = self.getOrDefault
         made = self._plan()
-        if made.size > MAX_WEIGHTS:
-            raise network.SpecError(f"{made.size} weights; at most {MAX_WEIGHTS} are exchanged")
+        if made.size > get("maxWeights"):
+            raise network.SpecError(f"{made.size} weights; at most {get('maxWeights')} are exchanged")
         classes = 2 if made.spec["loss"] == "binary" else made.outputs
         if get("numClasses") not in (0, classes):
             raise network.SpecError(
@@ -290,7 +302,7 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
             )
             if get("verbosity"):
                 print(f"epoch {epoch}: loss {history[-1][2]}, accuracy {history[-1][3]}")
-        if history and get("validationSplit") > 0:
+        if history and (get("validationSplit") > 0 or get("validationIndicatorCol")):
             self._note_validation(history, _measure(rows.filter("held_out"), made, flat, settings))
         model = AveragedNetworkModel(flat, [tuple(row) for row in history])
         return self._copyValues(model)
@@ -302,9 +314,15 @@ class AveragedNetwork(Estimator, _NetworkParams, DefaultParamsReadable, DefaultP
         share = get("validationSplit")
         if not 0 <= share < 1:
             raise ValueError(f"validationSplit must be in [0, 1), not {share}")
-        if share > 0:
+        indicator = get("validationIndicatorCol")
+        if share > 0 and indicator:
+            raise ValueError("give validationSplit or validationIndicatorCol, not both")
+        if indicator:
+            require_columns(dataset, [indicator])
+            held_out: Column = F.coalesce(F.col(indicator), F.lit(False))
+        elif share > 0:
             source = F.col(get("idCol")) if get("idCol") else features.cast("string")
-            held_out: Column = drawn_below(seeded_digest(source, get("seed")), share)
+            held_out = drawn_below(seeded_digest(source, get("seed")), share)
         else:
             held_out = F.lit(False)
         # Without an id, copies of a row would all come to one worker: a draw of their own parts them.
@@ -409,14 +427,12 @@ class AveragedNetworkModel(Model, _NetworkParams, MLReadable, MLWritable):
         def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             flat = shared.value.astype(dtype)
             for values in batches:
-                yield scored(made, flat, values, dtype)
+                yield scored(made, flat, values, dtype, with_scores)
 
-        kind = T.StructType(
-            [
-                T.StructField("prediction", T.DoubleType()),
-                T.StructField("scores", T.ArrayType(T.DoubleType())),
-            ]
-        )
+        with_scores = bool(get("scoresCol"))
+        kind = T.StructType([T.StructField("prediction", T.DoubleType())])
+        if with_scores:
+            kind.add("scores", T.ArrayType(T.DoubleType()))
         # Not deterministic to Catalyst, so that a later filter cannot make it run twice.
         scorer = F.arrow_udf(score, kind).asNondeterministic()
         features = as_array(dataset, get("featuresCol"))

@@ -108,6 +108,31 @@ def sorted_train(spark: SparkSession, folder: str) -> DataFrame:
     return weights.withColumn("weight", F.round("weight", 9))
 
 
+@query(
+    "validated_train",
+    """with x as (select vec_id, label, vec_id % 4 = 0 as held, unnest(range(64))::int as d,
+           unnest(embedding)::double as v from embeddings
+           union all select vec_id, label, vec_id % 4 = 0, 64 as d, 1.0::double as v from embeddings),
+    classes as (select unnest(range(10))::int as c),
+    n as (select count(*)::double as n from embeddings where vec_id % 4 <> 0),
+    first as (select d, c, -0.5::double * sum(v * (0.1::double - (label = c)::int)) / any_value(n) as w
+          from x, classes, n where not held group by d, c),
+    logit as (select vec_id, any_value(label) as label, c, sum(v * w) as z from x join first using (d)
+          where held group by vec_id, c),
+    share as (select vec_id, label, c, exp(z) / sum(exp(z)) over (partition by vec_id) as p from logit)
+    select 1::int as epoch, (select n::bigint from n) as n, count(*) as val_n,
+    round(avg(-ln(p)), 9) as val_loss, round(avg((label = top)::int), 9) as val_accuracy from (
+    select any_value(label) as label, arg_max(c, p) as top, max(p) filter (c = label) as p
+    from share group by vec_id)""",
+)
+def validated_train(spark: SparkSession, folder: str) -> DataFrame:
+    """Loss and accuracy, after an epoch over the other rows, of rows set apart by a column."""
+    rows = table(spark, folder, "embeddings").withColumn("apart", F.col("vec_id") % 4 == 0)
+    history = _whole_batch_trainer(epochs=1, validationIndicatorCol="apart").fit(rows).history(spark)
+    measured = [F.round(name, 9).alias(name) for name in ("val_loss", "val_accuracy")]
+    return history.select("epoch", "n", "val_n", *measured)
+
+
 # The first step of each rule from zero weights; g is the gradient, of which the plain step takes half.
 FIRST_STEPS = {
     "adagrad": "0.01::double * g / (abs(g) + 1e-7::double)",

@@ -13,10 +13,6 @@ FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-# Few rows suffice to see that these train and predict; their numbers are tested elsewhere.
-TRAINED = sorted(set(QUERIES) - set(ORACLES))
-
-
 @pytest.fixture(scope="module")
 def tables():
     return connect(FOLDER)
@@ -27,9 +23,8 @@ def test_query_equals_its_sql(spark, tables, name):
     assert differences(QUERIES[name](spark, FOLDER), tables, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", TRAINED)
-def test_trained_query_gives_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_is_the_tag_job(spark):

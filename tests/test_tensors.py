@@ -122,3 +122,11 @@ def test_uniform_draws_spread_evenly(spark):
     row = keys.agg(F.avg("w0"), F.avg("w3"), F.corr("w0", "w3"), F.min("w0"), F.max("w0")).first()
     assert abs(row[0] - 0.5) < 0.02 and abs(row[1] - 0.5) < 0.02 and abs(row[2]) < 0.06
     assert 0 <= row[3] and row[4] < 1
+
+
+def test_relu_keeps_null_and_one_hot_refuses_other_labels(spark):
+    rows = spark.createDataFrame([(None, 0), (-1.0, 1), (2.0, 2)], "x double, label int")
+    assert [row[0] for row in rows.select(tensors.relu("x")).collect()] == [None, 0.0, 2.0]
+    assert rows.select(tensors.one_hot("label", 3).alias("v")).collect()[2]["v"] == [0.0, 0.0, 1.0]
+    with pytest.raises(Exception, match="outside the classes"):
+        rows.select(tensors.one_hot("label", 2)).collect()
