@@ -9,8 +9,10 @@ shingle's ranks for all coordinates are one contiguous slice of the second permu
    bucket's least one: as many pairs as rows, however large the bucket.
 3. Pairs whose sizes or sketches rule out the similarity go; for the rest both texts are fetched and the similarity
    is computed from the full sets. Confirmed links give components.
-4. Buckets that still hold several components get new pivots in turn. At last what is left of them is paired across components, so that no
-   link is lost that a bucket could show: within a component links add nothing.
+4. Buckets that still hold several components get another pivot, and at last what is left of them is paired across
+   components, so that no link is lost that a bucket could show: within a component links add nothing. In a bucket
+   with a crowd of classes, shingles that only one class of all crowds has bound what it can share with another;
+   classes that this rules out leave before the pairing. Crowds of copies that are not quite similar enough go this way.
 
 With 48 bands of 6, a pair at similarity 0.8 is missed by all buckets once in two million times.
 
@@ -48,7 +50,9 @@ BANDS, ROWS = 48, 6
 CIRCLE_BITS = 20
 SKETCH_BITS = 128
 SEED = 11
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+# Classes in a bucket that are paired without a look at their own shingles; no pair depends on it.
+CROWD = 8
 
 
 def shingle_sets(batch: Bytes, width: int = 2) -> Iterator[np.ndarray]:
@@ -147,6 +151,30 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataF
     )
 
 
+def _own_shingles(classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(rep, own): for each class the number of its shingles that no other of these classes has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in byte_passes(batch.column(1)):
+                sets = list(shingle_sets(texts))
+                counts = [len(one) for one in sets]
+                reps = batch.column(0).slice(texts.first, len(texts)).take(pa.array(np.repeat(np.arange(len(sets)), counts)))
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([reps, pa.array(flat.view(np.int64))], ["rep", "shingle"])
+
+    return (
+        classes.join(documents.withColumnRenamed("doc_id", "rep"), "rep")
+        .select("rep", "text")
+        .mapInArrow(spread, "rep bigint, shingle bigint")
+        .groupBy("shingle")
+        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+        .filter("rep = last")
+        .groupBy("rep")
+        .agg(F.count("*").alias("own"))
+    )
+
+
 def _possible(similarity: int):
     """What sizes and sketches of two classes allow: a size ratio, and few unlike bits of the sketches.
 
@@ -162,6 +190,38 @@ def _possible(similarity: int):
     )
 
 
+def _to_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class with one drawn from its bucket, where they are not in one component."""
+    draw = F.xxhash64(F.lit(turn), "rep", "band")
+    pivots = rows.groupBy("band").agg(F.min_by(F.struct("rep", "component"), draw).alias("pivot"))
+    return (
+        rows.join(pivots, "band")
+        .filter(F.col("component") != F.col("pivot.component"))
+        .select(F.greatest("rep", "pivot.rep").alias("a"), F.least("rep", "pivot.rep").alias("b"))
+    )
+
+
+def _across(rows: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of classes of one bucket and different components that may be similar enough."""
+    # Of n and m shingles, o in common are enough if (100 + similarity) * o >= similarity * (n + m).
+    apart = (
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.col("x.rep") > F.col("y.rep"))
+        & ((100 + similarity) * F.least("x.most", "y.most") >= similarity * (F.col("x.n") + F.col("y.n")))
+        & _possible(similarity)
+    )
+    few = rows.filter(F.col("members") <= CROWD).withColumn("most", F.col("n"))
+    crowds = rows.filter(F.col("members") > CROWD)
+    own = stored(_own_shingles(crowds.select("rep").distinct(), documents), "own")
+    crowds = crowds.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    least = crowds.groupBy("band").agg(F.min("n").alias("least"))
+    able = crowds.join(least, "band").filter((100 + similarity) * F.col("most") >= similarity * (F.col("n") + F.col("least")))
+    parts = [part.select("band", "rep", "component", "n", "s0", "s1", "most") for part in (few, able)]
+    found = [part.alias("x").join(part.alias("y"), apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) for part in parts]
+    return found[0].unionByName(found[1])
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; the least id of a component is kept."""
     ship_package(documents.sparkSession)
@@ -209,28 +269,18 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             .join(labels, F.col("rep") == F.col("node"), "left")
             .select("band", "rep", F.coalesce("component", "rep").alias("component"))
         )
-        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        open_rows = labelled.join(mixed.select("band"), "band")
+        several = (
+            labelled.groupBy("band")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+            .filter("low <> high")
+            .select("band", "members")
+        )
+        open_rows = labelled.join(several, "band")
         if turn < PIVOT_ROUNDS:
-            # Another pivot in each bucket: the class whose hash with the turn is least.
-            draw = F.xxhash64(F.lit(turn), "rep", "band")
-            pivots = open_rows.groupBy("band").agg(F.min_by(F.struct("rep", "component"), draw).alias("pivot"))
-            new = (
-                open_rows.join(pivots, "band")
-                .filter(F.col("component") != F.col("pivot.component"))
-                .select(F.greatest("rep", "pivot.rep").alias("a"), F.least("rep", "pivot.rep").alias("b"))
-            )
+            new = tried(_to_pivots(open_rows, turn).distinct())
         else:
-            x, y = (
-                open_rows.join(facts, "rep").alias(name) for name in ("x", "y")
-            )
-            new = x.join(
-                y,
-                (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component"))
-                & (F.col("x.rep") > F.col("y.rep")) & _possible(similarity),
-            ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        fresh = tried(new.distinct()) if turn < PIVOT_ROUNDS else new.distinct()
-        fresh = stored(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
+            new = _across(stored(open_rows.join(facts, "rep"), "open"), documents, similarity).distinct()
+        fresh = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
             links = links.unionByName(stored(_confirmed(fresh, documents, similarity), "confirmed"))
