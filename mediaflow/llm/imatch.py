@@ -52,7 +52,8 @@ def _hash(term: Column) -> Column:
 
 
 def fingerprint(text: Column, in_band) -> Column:
-    """struct(level, low, high): the hashes of the document's level and of the next, '' for an empty subset."""
+    """struct(level, low, high): the hashes of the document's level and of the next, each after its subset's number;
+    empty subsets are left out."""
     found = terms(text)
     # One term a subset on average: the level follows from the number of terms.
     level = F.greatest(F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / SUBSETS)), F.lit(0)).cast("int")
@@ -64,42 +65,58 @@ def fingerprint(text: Column, in_band) -> Column:
         )
 
     def hashes(chosen: Column, at: Column) -> Column:
-        dealt = F.transform(
-            F.array_sort(F.filter(chosen, lambda term: F.pmod(_hash(term), F.pow(F.lit(2.0), at).cast("bigint")) == 0)),
-            lambda term: F.struct(F.pmod(F.shiftright(_hash(term), 32), F.lit(SUBSETS)).alias("subset"), term.alias("term")),
+        own = F.filter(chosen, lambda term: F.pmod(_hash(term), F.pow(F.lit(2.0), at).cast("bigint")) == 0)
+        dealt = F.array_sort(
+            F.transform(
+                own,
+                lambda term: F.struct(
+                    F.pmod(F.shiftright(_hash(term), 32), F.lit(SUBSETS)).alias("subset"), term.alias("term")
+                ),
+            )
         )
 
-        def one(subset: Column) -> Column:
-            own = F.transform(F.filter(dealt, lambda d: d["subset"] == subset), lambda d: d["term"])
-            return F.when(F.size(own) > 0, F.substring(F.sha1(F.array_join(own, " ")), 1, 6)).otherwise("")
-
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
-
-    # Bound one by one through one-element arrays, so that each is computed once.
-    return F.get(
-        F.transform(
-            F.array(F.struct(found.alias("terms"), level.alias("level"))),
-            lambda d: F.get(
-                F.transform(
-                    F.array(kept(d["terms"], d["level"])),
-                    lambda chosen: F.struct(
-                        d["level"].alias("level"),
-                        hashes(chosen, d["level"]).alias("low"),
-                        hashes(chosen, d["level"] + 1).alias("high"),
-                    ),
-                ),
-                0,
+        def by_subset(d: Column) -> Column:
+            heads = F.filter(
+                F.sequence(F.lit(0), F.greatest(F.size(d) - 1, F.lit(0))),
+                lambda i: (i < F.size(d)) & ((i == 0) | (F.get(d, i - 1)["subset"] != F.get(d, i)["subset"])),
+            )
+
+            def hashed(places: Column) -> Column:
+                def one(head: Column, nth: Column) -> Column:
+                    run = F.slice(d, head + 1, F.coalesce(F.get(places, nth + 1), F.size(d)) - head)
+                    words = F.array_join(F.transform(run, lambda r: r["term"]), " ")
+                    name = F.lpad(F.get(d, head)["subset"].cast("string"), 2, "0")
+                    return F.concat(name, F.substring(F.sha1(words), 1, 6))
+
+                return F.transform(places, one)
+
+            return _once(heads, hashed)
+
+        return _once(dealt, by_subset)
+
+    def at_level(d: Column) -> Column:
+        return _once(
+            kept(d["terms"], d["level"]),
+            lambda chosen: F.struct(
+                d["level"].alias("level"),
+                hashes(chosen, d["level"]).alias("low"),
+                hashes(chosen, d["level"] + 1).alias("high"),
             ),
-        ),
-        0,
-    )
+        )
+
+    return _once(F.struct(found.alias("terms"), level.alias("level")), at_level)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value bound to a lambda variable, so that it is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def as_text(print_: Column) -> Column:
     """The fingerprint as a string; '' where no term is in the band."""
-    body = F.array_join(F.concat(print_["low"], print_["high"]), ",")
-    return F.when(F.replace(body, F.lit(","), F.lit("")) == "", F.lit("")).otherwise(
-        F.concat(print_["level"].cast("string"), F.lit(":"), body)
+    empty = (F.size(print_["low"]) == 0) & (F.size(print_["high"]) == 0)
+    return F.when(empty, F.lit("")).otherwise(
+        F.concat_ws(":", print_["level"].cast("string"), F.array_join(print_["low"], ","), F.array_join(print_["high"], ","))
     )
 
 
@@ -110,9 +127,11 @@ def likeness(one: Column, other: Column) -> Column:
     def at(print_: Column) -> Column:
         return F.when(print_["level"] == level, print_["low"]).when(print_["level"] + 1 == level, print_["high"])
 
-    pairs = F.arrays_zip(at(one).alias("x"), at(other).alias("y"))
-    seen = F.size(F.filter(pairs, lambda p: (p["x"] != "") | (p["y"] != "")))
-    same = F.size(F.filter(pairs, lambda p: (p["x"] != "") & (p["x"] == p["y"])))
+    def subsets(print_: Column) -> Column:
+        return F.transform(at(print_), lambda entry: F.substring(entry, 1, 2))
+
+    seen = F.size(F.array_union(subsets(one), subsets(other)))
+    same = F.size(F.array_intersect(at(one), at(other)))
     return (
         F.when(as_text(one) == as_text(other), F.lit(1.0))
         .when(at(one).isNull() | at(other).isNull() | (seen == 0), F.lit(0.0))
