@@ -53,9 +53,8 @@ def stretches(data: np.ndarray, bounds: np.ndarray):
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool))
     grams = PrefixHash(data).grams(GRAM)
     least = sliding_min(grams, WIDTH)
-    begins = np.arange(len(least))
-    row = np.searchsorted(bounds, begins, side="right") - 1
-    inside = begins + LENGTH <= bounds[row + 1]
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))[: len(least)]
+    inside = np.arange(len(least)) + LENGTH <= bounds[1:][row]
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     head = np.flatnonzero(new & inside)
@@ -162,24 +161,26 @@ def repeated_windows(groups: list[list[bytes]], again: list[list[bool]]) -> list
                 found[g][i][:] = True
                 found[g][i][first] = False
     half = 1
-    while True:
+    while any(len(group) > half for group in groups):
         indexed, streamed, targets = [], [], []
         for g, group in enumerate(groups):
+            if len(group) <= half:
+                continue
             for i, content in enumerate(group):
+                first = i // half % 2 == 0
+                if first and (i // half + 1) * half >= len(group):
+                    continue
                 # Symbols carry the number of the pair of halves.
-                tag = 256 * (i // (2 * half)) + 1
-                if i // half % 2 == 0:
-                    if (i // half + 1) * half < len(group):
-                        indexed += [np.frombuffer(content, np.uint8) + np.int64(tag), [0]]
-                else:
-                    symbols = np.frombuffer(content, np.uint8) + np.int64(tag)
-                    for at in range(0, len(content) - LENGTH + 1, PIECE):
-                        streamed.append(symbols[at : at + PIECE + LENGTH - 1])
+                symbols = np.frombuffer(content, np.uint8) + np.int64(256 * (i // (2 * half)) + 1)
+                # What is found already stands earlier in the same half: that is neither sought nor shown again.
+                for begin, stop in _runs(~found[g][i]):
+                    if first:
+                        indexed += [symbols[begin : stop - 1 + LENGTH], [0]]
+                        continue
+                    for at in range(begin, stop, PIECE):
+                        streamed.append(symbols[at : min(at + PIECE, stop) - 1 + LENGTH])
                         targets.append((g, i, at))
-        if not streamed:
-            if all(len(group) <= half for group in groups):
-                return found
-        else:
+        if streamed:
             index = RunIndex(np.concatenate(indexed))
             bounds = np.cumsum([0, *map(len, streamed)])
             matched = index.matching_statistics(np.concatenate(streamed), bounds) >= LENGTH
@@ -187,6 +188,15 @@ def repeated_windows(groups: list[list[bytes]], again: list[list[bool]]) -> list
                 windows = stop - begin - LENGTH + 1
                 found[g][i][at : at + windows] |= matched[begin : begin + windows]
         half *= 2
+    return found
+
+
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of the runs of True."""
+    if marks.all():
+        return [(0, len(marks))]
+    edge = np.diff(marks.astype(np.int8), prepend=0, append=0)
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +216,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = repeated_windows([contents[g] for g in chosen], [flags[g] for g in chosen])
             for g, group in zip(chosen, marks):
                 for (doc, h, start), hit in zip(owners[g], group):
-                    if hit.any():
-                        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                            rows.append((doc, h, start + a, start + b - 1 + LENGTH))
+                    rows += [(doc, h, start + a, start + b - 1 + LENGTH) for a, b in _runs(hit)]
         columns = list(zip(*rows)) if rows else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "h", "begin", "stop"])
 

@@ -12,18 +12,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ranks of the keys, the order that sorts them, and the number of distinct ones."""
-    order = np.argsort(keys, kind="stable")
-    new = np.empty(len(keys), bool)
-    new[:1] = True
-    ordered = keys[order]
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    ranks = np.empty(len(keys), np.int64)
-    ranks[order] = np.cumsum(new) - 1
-    return ranks, order, int(new.sum())
-
-
 class RunIndex:
     def __init__(self, text: np.ndarray):
         text = np.append(text, 0) if len(text) == 0 or text[-1] else text
@@ -34,16 +22,7 @@ class RunIndex:
         codes = codes + len(ends) - 1
         codes[ends] = np.arange(len(ends))
         self.base = len(ends) - 1
-        # Ranks of the substrings of 1, 2, 4, ... symbols, until all differ.
-        ranks, order, distinct = _dense(codes)
-        self.levels = [ranks.astype(np.int32)]
-        width = 1
-        while distinct < size:
-            following = np.zeros(size, np.int64)
-            following[: size - width] = ranks[width:] + 1
-            ranks, order, distinct = _dense(ranks * (size + 1) + following)
-            width *= 2
-            self.levels.append(ranks.astype(np.int32))
+        order = self._sorted(codes, size)
         before = codes[order - 1]
         new = np.append(True, before[1:] != before[:-1])
         self.starts = np.flatnonzero(new)
@@ -58,26 +37,54 @@ class RunIndex:
         self.next[self.by_symbol] = np.cumsum(lengths[self.by_symbol]) - lengths[self.by_symbol]
         self.lengths = lengths
         self.keys = self.heads[self.by_symbol] * np.int64(len(self.starts) + 1) + self.by_symbol
-        self.size = size
+        # A directory of the rows: which run each lies in.
+        self.run_of = np.repeat(np.arange(len(self.starts), dtype=np.int32), lengths)
+
+    def _sorted(self, codes: np.ndarray, size: int) -> np.ndarray:
+        """The order of the suffixes, by prefixes of 2, 4, 8, ... symbols; only those still alike are sorted again.
+
+        ``levels`` keeps, for each of these widths, numbers that are equal where the prefixes are.
+        """
+        following = np.append(codes[1:], 0)
+        keys = codes * np.int64(codes.max() + 1) + following
+        self.levels = [codes.astype(np.int32)]
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        ranks = np.empty(size, np.int64)
+        ranks[order] = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+        self.levels.append(ranks.astype(np.int32))
+        width = 2
+        while not new.all():
+            # An end stands within no prefix that two suffixes share, so what follows lies in the text.
+            slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+            alike = order[slots]
+            keys = ranks[alike] * np.int64(size) + ranks[alike + width]
+            again = np.argsort(keys)
+            keys = keys[again]
+            order[slots] = alike[again]
+            new[slots] = np.append(True, keys[1:] != keys[:-1])
+            ranks[order[slots]] = np.maximum.accumulate(np.where(new[slots], slots, 0))
+            width *= 2
+            self.levels.append(ranks.astype(np.int32))
+        return order
 
     def encoded(self, symbols: np.ndarray) -> np.ndarray:
         """Codes of symbols; -1 for those that the text lacks."""
         at = np.minimum(np.searchsorted(self.symbols, symbols), len(self.symbols) - 1)
         return np.where((self.symbols[at] == symbols) & (symbols != 0), at + self.base, -1)
 
-    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at a and at b."""
-        a, b = a.copy(), b.copy()
+    def shared(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and at b, exact up to ``most``."""
         total = np.zeros(len(a), np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            inside = (a < self.size) & (b < self.size)
-            same = np.zeros(len(a), bool)
+        itself = np.flatnonzero(a == b)
+        if len(itself):
+            a, b = np.where(a == b, 0, a), np.where(a == b, 1, b)
+        for level in range(min(len(self.levels) - 1, int(most).bit_length()), -1, -1):
             ranks = self.levels[level]
-            same[inside] = ranks[a[inside]] == ranks[b[inside]]
-            step = same * (1 << level)
-            total += step
-            a += step
-            b += step
+            # No prefix that two suffixes share reaches the end of the text.
+            total += (ranks[a + total] == ranks[b + total]).astype(np.int64) << level
+        total[itself] = most
         return total
 
     def matching_statistics(self, patterns: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -96,7 +103,7 @@ class RunIndex:
             at = ends[:active] - step
             wanted = codes[at]
             row = rows[:active]
-            run = np.searchsorted(self.starts, row, side="right") - 1
+            run = self.run_of[row]
             hit = self.heads[run] == wanted
             gone = np.flatnonzero(wanted < 0)
             jump = np.flatnonzero(~hit & (wanted >= 0))
@@ -106,12 +113,14 @@ class RunIndex:
             matched[follow] += 1
             matched[gone] = 0
             if len(jump):
-                symbol = wanted[jump]
+                symbol, here, most = wanted[jump], places[jump], int(matched[jump].max())
                 slot = np.searchsorted(self.keys, symbol * np.int64(runs + 1) + run[jump])
                 up, down = np.maximum(slot - 1, 0), np.minimum(slot, runs - 1)
                 above, below = self.by_symbol[up], self.by_symbol[down]
-                from_above = np.where((slot > 0) & (self.heads[above] == symbol), self.shared(places[jump], self.last[above]), -1)
-                from_below = np.where((slot < runs) & (self.heads[below] == symbol), self.shared(places[jump], self.first[below]), -1)
+                nearest = np.concatenate([self.last[above], self.first[below]])
+                reach = self.shared(np.concatenate([here, here]), nearest, most)
+                from_above = np.where((slot > 0) & (self.heads[above] == symbol), reach[: len(jump)], -1)
+                from_below = np.where((slot < runs) & (self.heads[below] == symbol), reach[len(jump) :], -1)
                 go_up = from_above >= from_below
                 matched[jump] = np.minimum(matched[jump], np.where(go_up, from_above, from_below)) + 1
                 rows[jump] = np.where(go_up, self.next[above] + self.lengths[above] - 1, self.next[below])
