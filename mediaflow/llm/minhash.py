@@ -11,8 +11,9 @@ shingle's ranks for all coordinates are one contiguous slice of the second permu
    is computed from the full sets. Confirmed links give components.
 4. Buckets that still hold several components get another pivot, and at last what is left of them is paired across
    components, so that no link is lost that a bucket could show: within a component links add nothing. In a bucket
-   with a crowd of classes, shingles that only one class of all crowds has bound what it can share with another;
-   classes that this rules out leave before the pairing. Crowds of copies that are not quite similar enough go this way.
+   with a crowd of classes, two classes either share a shingle that few classes of all crowds have, and meet by
+   that, or share no more than their other shingles, and classes that these cannot make similar leave before the pairing.
+   Crowds of copies that are not quite similar enough go this way.
 
 With 48 bands of 6, a pair at similarity 0.8 is missed by all buckets once in two million times.
 
@@ -53,6 +54,8 @@ SEED = 11
 PIVOT_ROUNDS = 1
 # Classes in a bucket that are paired without a look at their own shingles; no pair depends on it.
 CROWD = 8
+# Of a crowd's classes, at most so many have a rare shingle; it only settles which way a pair is found.
+RARE = 32
 
 
 def shingle_sets(batch: Bytes, width: int = 2) -> Iterator[np.ndarray]:
@@ -151,8 +154,8 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataF
     )
 
 
-def _own_shingles(classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(rep, own): for each class the number of its shingles that no other of these classes has."""
+def _rare_shingles(classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(rep, shingle, n): the shingles that at most ``RARE`` of these classes have, and how many n do."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,16 +166,14 @@ def _own_shingles(classes: DataFrame, documents: DataFrame) -> DataFrame:
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([reps, pa.array(flat.view(np.int64))], ["rep", "shingle"])
 
-    return (
+    shingles = stored(
         classes.join(documents.withColumnRenamed("doc_id", "rep"), "rep")
         .select("rep", "text")
-        .mapInArrow(spread, "rep bigint, shingle bigint")
-        .groupBy("shingle")
-        .agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-        .filter("rep = last")
-        .groupBy("rep")
-        .agg(F.count("*").alias("own"))
+        .mapInArrow(spread, "rep bigint, shingle bigint"),
+        "shingles",
     )
+    rare = shingles.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
+    return stored(shingles.join(rare, "shingle").select("rep", "shingle", "n"), "rare")
 
 
 def _possible(similarity: int):
@@ -213,13 +214,24 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
     )
     few = rows.filter(F.col("members") <= CROWD).withColumn("most", F.col("n"))
     crowds = rows.filter(F.col("members") > CROWD)
-    own = stored(_own_shingles(crowds.select("rep").distinct(), documents), "own")
+    inside = crowds.select("rep", "component").distinct()
+    rare = _rare_shingles(inside.select("rep").distinct(), documents)
+    # Either two classes have a rare shingle in common, or at most their other ones.
+    holders = rare.filter("n > 1").join(inside, "rep").select("shingle", "rep", "component")
+    sharing = holders.alias("x").join(
+        holders.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.rep") > F.col("y.rep"))
+        & (F.col("x.component") != F.col("y.component")),
+    )
+    own = rare.groupBy("rep").agg(F.count("*").alias("own"))
     crowds = crowds.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     least = crowds.groupBy("band").agg(F.min("n").alias("least"))
     able = crowds.join(least, "band").filter((100 + similarity) * F.col("most") >= similarity * (F.col("n") + F.col("least")))
     parts = [part.select("band", "rep", "component", "n", "s0", "s1", "most") for part in (few, able)]
-    found = [part.alias("x").join(part.alias("y"), apart).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) for part in parts]
-    return found[0].unionByName(found[1])
+    found = [part.alias("x").join(part.alias("y"), apart) for part in parts]
+    pairs = [pair.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) for pair in (*found, sharing)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
@@ -279,7 +291,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         if turn < PIVOT_ROUNDS:
             new = tried(_to_pivots(open_rows, turn).distinct())
         else:
-            new = _across(stored(open_rows.join(facts, "rep"), "open"), documents, similarity).distinct()
+            new = tried(_across(stored(open_rows.join(facts, "rep"), "open"), documents, similarity).distinct())
         fresh = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
