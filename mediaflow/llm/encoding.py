@@ -6,7 +6,7 @@ it; behind a letter that no letter follows; around a single line break. The ids
 pieces, one after another. Words repeat, so each worker keeps what it has encoded, in two levels: the parts
 between spaces, and the words and signs they are made of; only new words reach the tokenizer.
 
-Each level keeps two generations of at most ``KEPT`` entries (some 150 bytes each): a full one becomes the old
+Each level keeps two generations of at most ``KEPT`` entries (some 200 bytes each): a full one becomes the old
 one, and what is used again moves on. Memory is bounded, and ids do not depend on it.
 """
 
@@ -19,7 +19,7 @@ from itertools import repeat
 
 import numpy as np
 
-KEPT = 600_000
+KEPT = 400_000
 
 _SIDE_BY_SIDE = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
