@@ -11,10 +11,12 @@ from mediaflow.llm.queries import VOCABULARY, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without a letter go."""
-    profiles = language.learned(docs.filter(~language.held_out("doc_id")), "text", "lang")
+    """Documents in a learned language; those without a letter and those too far from every profile go."""
+    training = docs.filter(~language.held_out("doc_id"))
+    profiles = language.learned(training, "text", "lang")
+    lowest = language.lowest_scores(training, "text", "lang", profiles)
     told = language.identified(docs, "text", profiles)
-    return told.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return told.filter(language.believed(lowest)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ language wins, equal ones by name. The score is 1 - distance / greatest possible
 N-grams of all training texts are counted (summed in tasks, then by Spark); only the profiles, languages times
 ``PROFILE`` rows, go to the driver and into the tasks.
 
+The nearest language is always named, however far it is. ``lowest_scores`` says from which score on to believe it: two
+fifths of the median score of the training texts told to be in that language. Letters that no training text had score
+0. A language close to a learned one in letters and endings may still pass.
+
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0, as is everything if nothing could be
 learned; n-grams of equal frequency share the mean of their ranks in a document and go by code in a profile;
 repeated rows count as often as they stand there. Other columns stay; one named like a result is replaced.
@@ -31,6 +35,10 @@ PROFILE = 300
 # Distinct n-grams a task holds before it passes its counts on.
 HELD_GRAMS = 1_000_000
 UNKNOWN = "und"
+# A text is taken to be in its nearest language from this share of that language's median training score on.
+BELIEVED = 0.4
+# The median is taken over scores rounded down to one in so many, so that only counts reach the driver.
+SCORE_STEPS = 1000
 RESULTS = ("lang_pred", "score")
 _EDGE = 1
 
@@ -157,6 +165,30 @@ def identified(documents: DataFrame, text_col: str, profiles: dict[str, np.ndarr
     return documents.mapInArrow(predict, schema)
 
 
+def lowest_scores(training: DataFrame, text_col: str, lang_col: str, profiles: dict[str, np.ndarray]) -> dict[str, float]:
+    """For each language told of a training text, the least score to believe it by; all training texts are scored."""
+    texts = training.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"))
+    steps = (
+        identified(texts, "text", profiles)
+        .filter(F.col("lang_pred") != UNKNOWN)
+        .groupBy("lang_pred", F.floor(F.col("score") * SCORE_STEPS).alias("step"))
+        .agg(F.count("*").alias("n"))
+    )
+    counts: dict[str, np.ndarray] = {}
+    for row in steps.collect():  # languages times SCORE_STEPS rows at most
+        counts.setdefault(row["lang_pred"], np.zeros(SCORE_STEPS + 1, np.int64))[row["step"]] = row["n"]
+    medians = {lang: np.searchsorted(np.cumsum(n), (n.sum() + 1) // 2) / SCORE_STEPS for lang, n in counts.items()}
+    return {lang: float(BELIEVED * median) for lang, median in medians.items()}
+
+
+def believed(lowest: dict[str, float]) -> Column:
+    """Whether lang_pred is believed; languages told of no training text go by the least of the other limits."""
+    limit = F.lit(min(lowest.values(), default=0.0))
+    for lang, least in lowest.items():
+        limit = F.when(F.col("lang_pred") == lang, least).otherwise(limit)
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= limit)
+
+
 def held_out(id_col: str) -> Column:
     """Documents that no profile may learn from: a third of them, by the checksum of the id."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1

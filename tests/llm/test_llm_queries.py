@@ -149,3 +149,16 @@ def test_pipeline_keeps_what_each_stage_should(spark, documents):
     assert {r["doc_id"] for r in mix} <= {r["doc_id"] for r in clean}
     assert sorted(r["doc_id"] for r in files) == sorted(r["doc_id"] for r in mix)
     assert sum(r["n_tokens"] for r in files) == max(r["start"] + r["n_tokens"] for r in files)
+
+
+def test_language_stage_drops_what_no_profile_is_near_to(spark, documents):
+    import corpus_pipeline
+
+    at = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    far = ["Привет, этот текст написан по-русски, такого языка здесь никто не учил.", "日本語の文章です。", "xqzj wvkk zzqx jjwk qqpz xxkj"]
+    # The ids are not held out: the texts are among those that the profiles and limits are learned from.
+    ids = [i for i in range(10**9, 10**9 + 100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(key, text, None, "s", len(text)) for key, text in zip(ids, far)] + [(ids[9], far[0], "de", "s", len(far[0]))]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.identify_language(spark, at.unionByName(odd), FOLDER).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in documents}
