@@ -9,6 +9,8 @@ from mediaflow.llm import binary, language, minhash, mixing, winnow
 from mediaflow.llm.common import read, scratch, stored
 from mediaflow.llm.queries import VOCABULARY, tokenizer_path
 
+SHINGLE_WORDS = 5
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter and those too far from every profile go."""
@@ -21,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id; one row where rows share an id."""
-    dropped = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    dropped = minhash.near_duplicates(docs, width=SHINGLE_WORDS).filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():

@@ -17,9 +17,9 @@ shingle's ranks for all coordinates are one contiguous slice of the second permu
 
 With 48 bands of 6, a pair at similarity 0.8 is missed by all buckets once in two million times.
 
-Defined cases: a NULL or wordless text has the empty set and is linked with nothing; with one word the set is that
-word; rows that share an id are one document, linked by any of their texts, and each gets its result; a NULL id
-gets a NULL component and stays. Other columns are ignored.
+Defined cases: a NULL or wordless text has the empty set and is linked with nothing; with fewer words than a
+shingle has, the set is the run of all; rows that share an id are one document, linked by any of their texts, and each
+gets its result; a NULL id gets a NULL component and stays. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ from mediaflow.shipping import ship_package
 BANDS, ROWS = 48, 6
 CIRCLE_BITS = 20
 SKETCH_BITS = 128
+# Words in a shingle where the caller names no other width; a wider one tells texts with scattered edits apart.
+WIDTH = 2
 SEED = 11
 PIVOT_ROUNDS = 1
 # Classes in a bucket that are paired without a look at their own shingles; no pair depends on it.
@@ -58,8 +60,8 @@ CROWD = 8
 RARE = 32
 
 
-def shingle_sets(batch: Bytes, width: int = 2) -> Iterator[np.ndarray]:
-    """For each row, the sorted hashes of its distinct shingles."""
+def shingle_sets(batch: Bytes, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """For each row, the sorted hashes of its distinct shingles of ``width`` words."""
     data = lowered(batch.data)
     starts, ends, cuts = word_spans(Bytes(batch.first, data, batch.bounds), NOT_SPACE)
     words = PrefixHash(data).spans(starts, ends)
@@ -94,7 +96,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _signed(documents: DataFrame) -> DataFrame:
+def _signed(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, k0, k1, s0, s1, bands); the set's digest, its sketch and the hashes of its bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def _signed(documents: DataFrame) -> DataFrame:
                 sizes = np.zeros(len(texts), np.int64)
                 keys = np.zeros((len(texts), 4), np.int64)
                 bands = np.zeros((len(texts), BANDS), np.int64)
-                for i, shingles in enumerate(shingle_sets(texts)):
+                for i, shingles in enumerate(shingle_sets(texts, width)):
                     sizes[i] = len(shingles)
                     if len(shingles):
                         coordinates = signature(shingles)
@@ -132,14 +134,14 @@ def _signed(documents: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int, width: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets have at least ``similarity`` percent in common, from their texts."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = np.zeros(batch.num_rows, bool)
-            ours = (s for texts in byte_passes(batch.column(2)) for s in shingle_sets(texts))
-            theirs = (s for texts in byte_passes(batch.column(3)) for s in shingle_sets(texts))
+            ours = (s for texts in byte_passes(batch.column(2)) for s in shingle_sets(texts, width))
+            theirs = (s for texts in byte_passes(batch.column(3)) for s in shingle_sets(texts, width))
             for i, (one, other) in enumerate(zip(ours, theirs)):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 links[i] = both > 0 and 100 * both >= similarity * (len(one) + len(other) - both)
@@ -154,13 +156,13 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int) -> DataF
     )
 
 
-def _rare_shingles(classes: DataFrame, documents: DataFrame) -> DataFrame:
+def _rare_shingles(classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """(rep, shingle, n): the shingles that at most ``RARE`` of these classes have, and how many n do."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in byte_passes(batch.column(1)):
-                sets = list(shingle_sets(texts))
+                sets = list(shingle_sets(texts, width))
                 counts = [len(one) for one in sets]
                 reps = batch.column(0).slice(texts.first, len(texts)).take(pa.array(np.repeat(np.arange(len(sets)), counts)))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -202,7 +204,7 @@ def _to_pivots(rows: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _across(rows: DataFrame, documents: DataFrame, similarity: int) -> DataFrame:
+def _across(rows: DataFrame, documents: DataFrame, similarity: int, width: int) -> DataFrame:
     """Pairs of classes of one bucket and different components that may be similar enough."""
     # Of n and m shingles, o in common are enough if (100 + similarity) * o >= similarity * (n + m).
     apart = (
@@ -215,7 +217,7 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
     few = rows.filter(F.col("members") <= CROWD).withColumn("most", F.col("n"))
     crowds = rows.filter(F.col("members") > CROWD)
     inside = crowds.select("rep", "component").distinct()
-    rare = _rare_shingles(inside.select("rep").distinct(), documents)
+    rare = _rare_shingles(inside.select("rep").distinct(), documents, width)
     # Either two classes have a rare shingle in common, or at most their other ones.
     holders = rare.filter("n > 1").join(inside, "rep").select("shingle", "rep", "component")
     sharing = holders.alias("x").join(
@@ -234,11 +236,14 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int) -> DataFrame
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; the least id of a component is kept."""
+def near_duplicates(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80, width: int = WIDTH
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row, by shingles of ``width`` words; the least id of a
+    component is kept."""
     ship_package(documents.sparkSession)
     documents = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(_signed(documents), "signatures")
+    signed = stored(_signed(documents, width), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"))
     reps = stored(
@@ -273,7 +278,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     first = buckets.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     pairs = stored(tried(first.distinct()), "pairs")
-    links = stored(_confirmed(pairs, documents, similarity).unionByName(same_id), "confirmed")
+    links = stored(_confirmed(pairs, documents, similarity, width).unionByName(same_id), "confirmed")
     labels = components(links)
     for turn in range(PIVOT_ROUNDS + 1):
         labelled = (
@@ -291,11 +296,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         if turn < PIVOT_ROUNDS:
             new = tried(_to_pivots(open_rows, turn).distinct())
         else:
-            new = tried(_across(stored(open_rows.join(facts, "rep"), "open"), documents, similarity).distinct())
+            new = tried(_across(stored(open_rows.join(facts, "rep"), "open"), documents, similarity, width).distinct())
         fresh = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
-            links = links.unionByName(stored(_confirmed(fresh, documents, similarity), "confirmed"))
+            links = links.unionByName(stored(_confirmed(fresh, documents, similarity, width), "confirmed"))
             labels = components(links)
     out = (
         signed.select("doc_id", "n_shingles", "k0", "k1")

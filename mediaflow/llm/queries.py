@@ -216,7 +216,7 @@ from words w join reach r using (doc_id) left join sizes using (doc_id) group by
 
 @query("op8_near_duplicates", SHINGLE_SQL)
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, folder, "documents"))
+    return minhash.near_duplicates(read(spark, folder, "documents"), width=2)
 
 
 @query("op10_fingerprints")

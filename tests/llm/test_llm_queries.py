@@ -162,3 +162,33 @@ def test_language_stage_drops_what_no_profile_is_near_to(spark, documents):
     odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
     kept = corpus_pipeline.identify_language(spark, at.unionByName(odd), FOLDER).select("doc_id").collect()
     assert {r["doc_id"] for r in kept} == {r["doc_id"] for r in documents}
+
+
+def test_near_duplicate_stage_goes_by_five_word_shingles(spark, documents):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    texts = {row["doc_id"]: row["text"] or "" for row in documents}
+    # Copies with one changed word in every 18 to 44: alike by two words, not all of them by five.
+    for i, every in enumerate((18, 20, 25, 30, 40, 44, 60, 90)):
+        words = [f"w{n}" for n in rng.integers(0, 10**6, 360)]
+        texts[10**6 + 2 * i] = " ".join(words)
+        texts[10**6 + 2 * i + 1] = " ".join(f"x{n}" if n % every == every // 2 else word for n, word in enumerate(words))
+    texts |= {2 * 10**6: "four words in all", 2 * 10**6 + 1: "Four words in all", 2 * 10**6 + 2: "four words in here"}
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets = {key: shingles(text) for key, text in texts.items()}
+    label = {key: key for key in sets}
+    for a, one in sets.items():
+        for b, two in sets.items():
+            if a < b and one and two and 100 * len(one & two) >= 80 * len(one | two):
+                low, high = sorted((label[a], label[b]))
+                label = {key: low if value == high else value for key, value in label.items()}
+    rows = [(key, text, "en", "s", len(text)) for key, text in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), FOLDER).collect()}
+    assert kept == {key for key, least in label.items() if key == least}
+    assert {10**6 + 1, 10**6 + 3} <= kept and 10**6 + 15 not in kept
