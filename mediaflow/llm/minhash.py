@@ -15,7 +15,8 @@ shingle's ranks for all coordinates are one contiguous slice of the second permu
    that, or share no more than their other shingles, and classes that these cannot make similar leave before the pairing.
    Crowds of copies that are not quite similar enough go this way.
 
-With 48 bands of 6, a pair at similarity 0.8 is missed by all buckets once in two million times.
+With 48 bands of 6, a pair at similarity 0.8 is missed by all buckets once in two million times. The 128-bit
+sketches turn away less than one in a hundred million such pairs.
 
 Defined cases: a NULL or wordless text has the empty set and is linked with nothing; with fewer words than a
 shingle has, the set is the run of all; rows that share an id are one document, linked by any of their texts, and each
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ from mediaflow.shipping import ship_package
 BANDS, ROWS = 48, 6
 CIRCLE_BITS = 20
 SKETCH_BITS = 128
+# The share of pairs just at the similarity that the sketches may turn away, well under what the buckets miss.
+SKETCH_LOSS = 1e-8
 # Words in a shingle where the caller names no other width; a wider one tells texts with scattered edits apart.
 WIDTH = 2
 SEED = 11
@@ -96,6 +100,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _digests(shingles: np.ndarray) -> tuple[int, int]:
+    """What names a set that is not empty."""
+    return int(np.bitwise_xor.reduce(shingles).view(np.int64)), int(mix(shingles + STEP).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signed(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, k0, k1, s0, s1, bands); the set's digest, its sketch and the hashes of its bands."""
 
@@ -114,8 +123,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
                         for column in coordinates.reshape(BANDS, ROWS).T:
                             value = value * STEP + column
                         bands[i] = mix(value).view(np.int64)
-                        keys[i, 0] = np.bitwise_xor.reduce(shingles).view(np.int64)
-                        keys[i, 1] = mix(shingles + STEP).sum(dtype=np.uint64).view(np.int64)
+                        keys[i, :2] = _digests(shingles)
                         keys[i, 2:] = np.packbits((coordinates[:SKETCH_BITS] & 1).astype(bool)).view(np.int64)
                 flat = pa.array(bands[sizes > 0].ravel())
                 ends = np.append(0, np.cumsum(np.where(sizes > 0, BANDS, 0))).astype(np.int32)
@@ -156,35 +164,60 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int, width: i
     )
 
 
-def _rare_shingles(classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """(rep, shingle, n): the shingles that at most ``RARE`` of these classes have, and how many n do."""
+def _rare_shingles(reps: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """(rep, k0, k1, shingle, n): the shingles that at most ``RARE`` of these classes have, and how many n do.
+
+    Rows that repeat, and texts with one set, count once; of an id with several texts, each set is a class.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in byte_passes(batch.column(1)):
                 sets = list(shingle_sets(texts, width))
-                counts = [len(one) for one in sets]
-                reps = batch.column(0).slice(texts.first, len(texts)).take(pa.array(np.repeat(np.arange(len(sets)), counts)))
+                keys = np.array([_digests(one) if len(one) else (0, 0) for one in sets], np.int64).reshape(-1, 2)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([reps, pa.array(flat.view(np.int64))], ["rep", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(texts.first, len(texts)),
+                        pa.array(keys[:, 0]),
+                        pa.array(keys[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                    ],
+                    ["rep", "k0", "k1", "shingles"],
+                )
 
-    shingles = stored(
-        classes.join(documents.withColumnRenamed("doc_id", "rep"), "rep")
+    sets = stored(
+        reps.join(documents.withColumnRenamed("doc_id", "rep"), "rep")
         .select("rep", "text")
-        .mapInArrow(spread, "rep bigint, shingle bigint"),
+        .mapInArrow(spread, "rep bigint, k0 bigint, k1 bigint, shingles array<bigint>")
+        .dropDuplicates(["rep", "k0", "k1"]),
         "shingles",
     )
+    shingles = sets.select("rep", "k0", "k1", F.explode("shingles").alias("shingle"))
     rare = shingles.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
-    return stored(shingles.join(rare, "shingle").select("rep", "shingle", "n"), "rare")
+    return stored(shingles.join(rare, "shingle").select("rep", "k0", "k1", "shingle", "n"), "rare")
+
+
+@lru_cache
+def sketch_limit(similarity: int) -> int:
+    """The most unlike bits of two sketches that still allow the similarity."""
+    unlike, limit, tail = (100 - similarity) / 200, SKETCH_BITS, 0.0
+    while limit > 0:
+        tail += comb(SKETCH_BITS, limit) * unlike**limit * (1 - unlike) ** (SKETCH_BITS - limit)
+        if tail >= SKETCH_LOSS:
+            break
+        limit -= 1
+    return limit
 
 
 def _possible(similarity: int):
     """What sizes and sketches of two classes allow: a size ratio, and few unlike bits of the sketches.
 
-    At the similarity, a tenth of the bits differ on average for 80 percent; the limit lies five standard deviations above.
+    Two classes at the similarity have each bit unlike with the chance (100 - similarity) / 200; the limit is the least
+    number that the unlike bits, taken as independent, exceed less than ``SKETCH_LOSS`` of the time.
     """
-    unlike = (100 - similarity) / 200
-    limit = int(SKETCH_BITS * unlike + 5 * (SKETCH_BITS * unlike * (1 - unlike)) ** 0.5) + 1
+    limit = sketch_limit(similarity)
     differing = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     return (
         (100 * F.col("x.n") >= similarity * F.col("y.n"))
@@ -219,15 +252,15 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int, width: int)
     inside = crowds.select("rep", "component").distinct()
     rare = _rare_shingles(inside.select("rep").distinct(), documents, width)
     # Either two classes have a rare shingle in common, or at most their other ones.
-    holders = rare.filter("n > 1").join(inside, "rep").select("shingle", "rep", "component")
+    holders = rare.filter("n > 1").join(inside, "rep").select("shingle", "rep", "component").distinct()
     sharing = holders.alias("x").join(
         holders.alias("y"),
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.rep") > F.col("y.rep"))
         & (F.col("x.component") != F.col("y.component")),
     )
-    own = rare.groupBy("rep").agg(F.count("*").alias("own"))
-    crowds = crowds.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    own = rare.groupBy("rep", "k0", "k1").agg(F.count("*").alias("own"))
+    crowds = crowds.join(own, ["rep", "k0", "k1"], "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     least = crowds.groupBy("band").agg(F.min("n").alias("least"))
     able = crowds.join(least, "band").filter((100 + similarity) * F.col("most") >= similarity * (F.col("n") + F.col("least")))
     parts = [part.select("band", "rep", "component", "n", "s0", "s1", "most") for part in (few, able)]
@@ -253,7 +286,7 @@ def near_duplicates(
         .dropDuplicates(["rep", "k0", "k1"]),
         "classes",
     )
-    facts = reps.select("rep", "n", "s0", "s1")
+    facts = reps.select("rep", "k0", "k1", "n", "s0", "s1")
     rows = reps.select("rep", F.explode("bands").alias("band"))
     # Only buckets of several classes matter; most bands stand alone.
     shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")

@@ -317,6 +317,32 @@ def test_near_duplicates_of_odd_documents(odd_documents, no_documents):
     assert minhash.near_duplicates(no_documents).count() == 0
 
 
+def test_crowd_keeps_its_links_where_rows_repeat(spark):
+    # 89 shingles of all and 11 of each one's own: any two have 89 of 111 in common, and no rare one.
+    base = " ".join(f"base{i}" for i in range(90))
+    rows = [(i, f"{base} " + " ".join(f"own{i}x{k}" for k in range(11))) for i in range(40)]
+    rows += [(i, text.upper()) for i, text in rows] + rows + [(i, f"another{i} text{i} of{i} this{i} id{i}") for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    crowd = (
+        minhash._signed(documents, 2)
+        .filter("n_shingles = 100")
+        .select(F.lit(1).cast("bigint").alias("band"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"),
+                "k0", "k1", F.col("n_shingles").alias("n"), "s0", "s1", F.lit(40).alias("members"))
+        .distinct()
+    )
+    assert crowd.count() == 40
+    found = {(r["a"], r["b"]) for r in minhash._across(crowd, documents, 80, 2).collect()}
+    assert found == {(a, b) for a in range(40) for b in range(a)}
+
+
+def test_sketches_turn_away_fewer_pairs_than_buckets_miss():
+    from math import comb
+
+    limit = minhash.sketch_limit(80)
+    lost = sum(comb(128, k) * 0.1**k * 0.9 ** (128 - k) for k in range(limit + 1, 129))
+    assert lost < 1e-8 < (1 - 0.8**6) ** 48
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
