@@ -1,19 +1,24 @@
 """Document fingerprints by I-Match over many small random lexicon subsets, with DataFrame functions only.
 
 The terms of a document are its distinct runs of letters and digits, small letters. Those within the band of inverse
-document frequency are kept: at most ``common`` of all documents have them and, if ``rare`` is set, at least that
-share. Plain I-Match hashes all of them and changes with any one; so the lexicon is cut at random: by a hash of the
+document frequency are kept: at most ``common`` of all distinct texts have them (or just one has) and, if ``rare`` is
+set, at least that share. Copies of a text count once, so a large group of copies keeps its own terms. Plain I-Match hashes all of them and changes with any one; so the lexicon is cut at random: by a hash of the
 term, level l keeps 1 in 2**l terms, and each level is dealt into ``SUBSETS`` disjoint subsets. A document takes the
 level at which it has about one term a subset, and the next; for every subset its sorted terms are hashed. The
 fingerprint is the level and the hashes of both levels. Two fingerprints are compared at a level that both have:
 their likeness is the share of subsets with equal hashes among those that are not empty in both.
 
-Terms outside the band are few by count: terms that more than ``common`` of the documents have number less than the
-mean of distinct terms per document over ``common`` (about 5000 for 500 terms and 10 percent), so they are sent with
-the plan. With ``rare``, the same bound holds for the terms kept.
+Where none of a text's terms is in the band, all its terms are dealt out instead; where the level leaves none, or
+there is none, one hash of all terms or of the text is the fingerprint. So texts of common words only, and small tables,
+are told apart too.
 
-Defined cases: NULL text is empty; texts without terms in the band have the empty fingerprint; equal fingerprints
-have likeness 1, an empty one and another 0. Other columns are ignored.
+Terms outside the band are few by count: terms that more than ``common`` of the texts have number less than the
+mean of distinct terms per text over ``common`` (about 5000 for 500 terms and 10 percent), so they are sent with
+the plan. With ``rare``, the same bound holds for the terms kept. The terms to be counted again are more by the number
+of rows over that of distinct texts at most.
+
+Defined cases: NULL text is empty; the empty text has the empty fingerprint; equal fingerprints have likeness 1, an
+empty one and another 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +39,34 @@ def terms(text: Column) -> Column:
 
 
 def band(documents: DataFrame, text_col: str, common: float = COMMON, rare: float | None = None):
-    """A predicate on terms: whether a term lies in the band, by the documents' frequencies."""
-    sizes = documents.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    total = documents.count()
+    """A predicate on terms: whether a term lies in the band, by the frequencies among distinct texts.
+
+    Terms are counted over all rows first. Only those that this leaves in doubt are counted again, once for each
+    distinct text: a row sends no more than its text's hash and those terms.
+    """
+    texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = texts.select(F.xxhash64("text")).distinct().count()
+    most = max(common * total, 1)
+    sizes = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    open_terms = sizes.filter(F.col("n") > most if rare is None else F.col("n") >= rare * total).select("term")
+    asked = [row["term"] for row in open_terms.collect()]
+    counted = (
+        texts.select(
+            F.xxhash64("text").alias("h"),
+            F.array_join(F.filter(terms(F.col("text")), lambda term: term.isin(asked)), " ").alias("found"),
+        )
+        .filter("found <> ''")
+        .distinct()
+        .select(F.explode(F.split("found", " ")).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("n"))
+    )
+    bounds = F.col("n") > most if rare is None else (F.col("n") <= most) & (F.col("n") >= rare * total)
+    chosen = counted.filter(bounds).select("term")
+    listed = [row["term"] for row in chosen.collect()] if asked else []
     if rare is None:
-        outside = [row["term"] for row in sizes.filter(F.col("n") > common * total).select("term").collect()]
-        return lambda term: ~term.isin(outside) if outside else F.lit(True)
-    inside = [
-        row["term"]
-        for row in sizes.filter((F.col("n") <= common * total) & (F.col("n") >= rare * total)).select("term").collect()
-    ]
-    return lambda term: term.isin(inside) if inside else F.lit(False)
+        return lambda term: ~term.isin(listed) if listed else F.lit(True)
+    return lambda term: term.isin(listed) if listed else F.lit(False)
 
 
 def _hash(term: Column) -> Column:
@@ -58,10 +80,10 @@ def fingerprint(text: Column, in_band) -> Column:
     # One term a subset on average: the level follows from the number of terms.
     level = F.greatest(F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / SUBSETS)), F.lit(0)).cast("int")
 
-    def kept(all_terms: Column, at: Column) -> Column:
+    def kept(all_terms: Column, at: Column, also=lambda term: F.lit(True)) -> Column:
         return F.filter(
             all_terms,
-            lambda term: (F.pmod(_hash(term), F.pow(F.lit(2.0), at).cast("bigint")) == 0) & in_band(term),
+            lambda term: (F.pmod(_hash(term), F.pow(F.lit(2.0), at).cast("bigint")) == 0) & also(term),
         )
 
     def hashes(chosen: Column, at: Column) -> Column:
@@ -94,17 +116,30 @@ def fingerprint(text: Column, in_band) -> Column:
 
         return _once(dealt, by_subset)
 
+    def whole(d: Column) -> Column:
+        """One hash of all terms, or of a text without any; nothing for the empty text."""
+        all_of_it = F.when(F.size(d["terms"]) > 0, F.array_join(F.array_sort(d["terms"]), " ")).otherwise(d["text"])
+        one = F.array(F.concat(F.lit("00"), F.substring(F.sha1(all_of_it), 1, 16)))
+        return F.when(d["text"] == "", F.slice(one, 1, 0)).otherwise(one)
+
     def at_level(d: Column) -> Column:
+        def hashed(chosen: Column, at: Column) -> Column:
+            return F.when(F.size(chosen) > 0, hashes(chosen, at)).otherwise(whole(d))
+
         return _once(
-            kept(d["terms"], d["level"]),
+            _once(
+                kept(d["terms"], d["level"], in_band),
+                lambda banded: F.when(F.size(banded) > 0, banded).otherwise(kept(d["terms"], d["level"])),
+            ),
             lambda chosen: F.struct(
                 d["level"].alias("level"),
-                hashes(chosen, d["level"]).alias("low"),
-                hashes(chosen, d["level"] + 1).alias("high"),
+                hashed(chosen, d["level"]).alias("low"),
+                hashed(chosen, d["level"] + 1).alias("high"),
             ),
         )
 
-    return _once(F.struct(found.alias("terms"), level.alias("level")), at_level)
+    start = F.struct(found.alias("terms"), level.alias("level"), F.coalesce(text, F.lit("")).alias("text"))
+    return _once(start, at_level)
 
 
 def _once(value: Column, use) -> Column:
@@ -113,7 +148,7 @@ def _once(value: Column, use) -> Column:
 
 
 def as_text(print_: Column) -> Column:
-    """The fingerprint as a string; '' where no term is in the band."""
+    """The fingerprint as a string; '' for the empty text."""
     empty = (F.size(print_["low"]) == 0) & (F.size(print_["high"]) == 0)
     return F.when(empty, F.lit("")).otherwise(
         F.concat_ws(":", print_["level"].cast("string"), F.array_join(print_["low"], ","), F.array_join(print_["high"], ","))

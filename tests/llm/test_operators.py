@@ -389,6 +389,36 @@ def test_fingerprints_of_odd_documents(spark, odd_documents, no_documents):
     assert odd_documents.select(imatch.fingerprint(F.col("text"), banded)["level"]).count() == odd_documents.count()
 
 
+def prints_of(spark, rows):
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    pairs = imatch.edited_pairs(documents, "doc_id", "text", imatch.band(documents, "text"))
+    near = imatch.likeness(F.col("print"), F.col("edited_print")).alias("near")
+    after = imatch.likeness(F.col("print"), F.col("next_print")).alias("after")
+    return {r["doc_id"]: r for r in pairs.select("doc_id", imatch.as_text(F.col("print")).alias("p"), near, after).collect()}
+
+
+def test_a_large_group_of_copies_keeps_its_fingerprint(spark):
+    draw = random.Random(2)
+    text = lambda i: " ".join(f"the of and t{i}x{draw.randrange(10**6)}" for _ in range(60))
+    copied = text(0)
+    found = prints_of(spark, [(i, copied if i % 3 == 0 else text(i)) for i in range(60)])
+    assert len({found[i]["p"] for i in range(0, 60, 3)}) == 1 and found[0]["p"] != ""
+    assert len({row["p"] for row in found.values()}) == 41
+    assert all(row["near"] > row["after"] for row in found.values())
+    assert np.mean([row["near"] for row in found.values()]) > 0.3 and np.mean([row["after"] for row in found.values()]) < 0.05
+
+
+def test_small_tables_and_common_words_are_told_apart(spark):
+    texts = [" ".join(f"a{i}w{k}" for k in range(60)) for i in range(3)]
+    found = prints_of(spark, list(enumerate(texts)))
+    assert len({row["p"] for row in found.values()}) == 3 and all(row["p"] for row in found.values())
+    assert all(row["near"] > 0 and row["after"] == 0 for row in found.values())
+    # Every word is in many texts; signs alone have no word.
+    common = ["this", "the", "this the", "the end", "this end", "...", "!!", "", None]
+    found = prints_of(spark, [*enumerate(common), *((i, f"this the end own{i}") for i in range(20, 40))])
+    assert len({found[i]["p"] for i in range(7)}) == 7 and found[7]["p"] == found[8]["p"] == ""
+
+
 def test_likeness_follows_the_terms_in_common(spark):
     draw = random.Random(8)
     words = [f"term{i}" for i in range(5000)]
