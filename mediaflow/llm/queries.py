@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.llm import attribution, binary, boilerplate, chat, imatch, language, minhash, mixing, repeats, winnow
+from mediaflow.llm import (
+    attribution,
+    binary,
+    boilerplate,
+    chat,
+    divergence,
+    imatch,
+    language,
+    lines,
+    minhash,
+    mixing,
+    negatives,
+    repeats,
+    winnow,
+)
 from mediaflow.llm.common import read, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +265,98 @@ def repeats_removed(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+DIVERGENCE_SQL = r"""
+with texts as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+found as (select r, lang, source, unnest(w) as term from texts),
+kept as (select lang, term, count(*) as total from found group by lang, term having count(distinct r) >= 3),
+counts as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by lang, source, term),
+languages as (select lang, count(*) as v, sum(total)::bigint as lang_size from kept group by lang),
+sizes as (
+  select g.lang, g.source, coalesce(sum(n), 0)::bigint as size
+  from (select distinct lang, source from texts) g left join counts c on g.lang = c.lang and g.source = c.source
+  group by g.lang, g.source),
+shares as (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+         1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.size + l.v) as p,
+         1 + 1000000000 * (k.total + 1) // (l.lang_size + l.v) as q
+  from sizes s join languages l on s.lang = l.lang join kept k on s.lang = k.lang
+  left join counts c on s.lang = c.lang and s.source = c.source and k.term = c.term),
+sums as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by a.lang, a.source, b.source),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+  from sizes a join sizes b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, (p - q) * (p - q) // q as value from shares where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value,
+       row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select * from (
+  select lang, source, 'term' as part, item, value,
+         row_number() over (partition by lang, source order by value desc, item)::int as rank from terms)
+where rank <= 200
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(read(spark, folder, "documents"))
+
+
+LINES_SQL = r"""
+with pieces as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+placed as (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i, row_number() over () as r from pieces),
+keyed as (
+  select doc_id, r, i, lines[i] as line,
+         translate(trim(lines[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from placed),
+common as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3)
+select doc_id, count(*)::bigint as n_lines, count(keeper)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where keeper is null), '')) as kept_sha256
+from keyed left join common on keyed.key = common.key and keyed.doc_id <> common.keeper
+group by doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    cleaned = lines.without_lines(documents, lines.keep_bitmaps(documents))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+NEGATIVES_SQL = r"""
+with usable as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, list_dot_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, anchor_label, vec_id as positive_id, score as positive_score
+  from scored where label = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and s.label <> p.anchor_label
+  and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, folder, "embeddings"), F.col("id") % 100 == 0, label=shifted)
