@@ -6,7 +6,7 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaflow.functions.tensors import to_array, to_vector
@@ -56,6 +56,54 @@ def feature_stats(df: DataFrame, values: str, chunk: int = CHUNK) -> DataFrame:
     )
 
 
+def partial_stats(df: DataFrame, values: str, chunk: int = CHUNK) -> DataFrame:
+    """(start, n, mean, m2, low, high): statistics that can be stored and merged, one row for each piece of the arrays.
+
+    ``start`` is the first position of the piece, ``m2`` the sum of squared distances from the mean.
+    """
+    summary = Summarizer.metrics("count", "mean", "variance", "min", "max").summary(F.col("vector"))
+    per_chunk = (
+        chunked(df, values, chunk)
+        .select("chunk_id", to_vector("piece").alias("vector"))
+        .groupBy("chunk_id")
+        .agg(summary.alias("s"))
+    )
+    spread = F.col("s.count") - 1
+    return per_chunk.select(
+        (F.col("chunk_id") * chunk).cast("int").alias("start"),
+        F.col("s.count").alias("n"),
+        to_array("s.mean").alias("mean"),
+        F.transform(to_array("s.variance"), lambda v: v * spread).alias("m2"),
+        to_array("s.min").alias("low"),
+        to_array("s.max").alias("high"),
+    )
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """Statistics per position, as ``feature_stats`` gives them, from stored parts of any number of tables.
+
+    The rows behind the parts are not read again. Parts may cut the arrays into pieces of different lengths. Distances
+    are taken from the merged mean, so parts far from zero or from one another lose no digits.
+    """
+    zipped = F.arrays_zip("mean", "m2", "low", "high")
+    at = parts.select("start", "n", F.posexplode(zipped).alias("at", "v")).select(
+        (F.col("start") + F.col("at")).alias("pos"), "n", "v.*"
+    )
+    # One exchange by position serves the means and the sums; a position has one row for each part.
+    position = Window.partitionBy("pos")
+    total = F.sum("n").over(position)
+    centred = at.withColumn("whole", F.sum(F.col("n") * F.col("mean")).over(position) / total)
+    merged = centred.groupBy("pos").agg(
+        F.sum("n").alias("n"),
+        F.first("whole").alias("mean"),
+        F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("whole"), F.lit(2.0))).alias("m2"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(F.lit(0.0))
+    return merged.select("pos", "n", "mean", sd.alias("sd"), "low", "high")
+
+
 def length_range(df: DataFrame, values: str) -> DataFrame:
     size = F.size(values)
     return df.select(size.alias("length")).agg(

@@ -3,7 +3,8 @@
 The lookup side is measured first. Under the size limit it is broadcast and the large side is not
 shuffled at all. Over it, both sides are shuffled on the key. Spark splits the partitions of hot keys at run
 time; where that is switched off, keys that hold a large share of the left rows are spread over several reducers:
-the left rows by a salt that depends on the row, the few lookup rows of those keys by one copy per salt.
+the left rows by a salt that depends on the row, the few lookup rows of those keys by one copy per salt. Where few
+left rows have a partner, a Bloom filter of the lookup keys can drop most others before they are shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mediaflow.operators.bloom import prefilter as bloom_prefilter
+
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Rows that are drawn per reducer to look for hot keys. The draw steers the plan, never the result.
 DRAWN_PER_REDUCER = 1000
@@ -97,15 +100,20 @@ def lookup_join(
     key: str,
     how: str = "inner",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    filter_bytes: int = 0,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``key``; ``how`` is inner, left, or left_semi.
 
-    ``right`` must hold few rows per key. The result is that of ``left.join(right, key, how)``.
+    ``right`` must hold few rows per key. The result is that of ``left.join(right, key, how)``. With
+    ``filter_bytes``, a join over the limit that keeps rows with a partner only drops most others by a Bloom filter of
+    at most that size first; that costs one more pass over ``right`` and pays where most left rows have none.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join {how!r}")
     if fits_broadcast(right, limit_bytes):
         return left.join(F.broadcast(right), key, how)
+    if filter_bytes and how != "left":
+        left = bloom_prefilter(left, right.select(key), key, filter_bytes)
     spark = left.sparkSession
     reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = [] if _splits_skew(spark) else hot_keys(left, key, reducers)

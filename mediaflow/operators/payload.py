@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -61,8 +62,26 @@ def attach_payload(
     return lookup_join(refs, stored, key, "left", limit_bytes)
 
 
-def http_fetcher(prefix: str = "", timeout: float = 30.0, attempts: int = 3) -> Fetcher:
-    """Fetcher for HTTP GET of prefix + reference."""
+# Client errors of HTTP that a later request may not meet (time-out, too early, too many requests).
+PASSING_CLIENT_ERRORS = (408, 425, 429)
+
+
+def is_permanent(failure: BaseException) -> bool:
+    """Whether asking again is no use: the reference is refused or names nothing."""
+    code = getattr(failure, "code", None)
+    if isinstance(code, int):
+        return 400 <= code < 500 and code not in PASSING_CLIENT_ERRORS
+    reason = getattr(failure, "reason", failure)
+    return isinstance(reason, (FileNotFoundError, IsADirectoryError, PermissionError, ValueError))
+
+
+def http_fetcher(prefix: str = "", timeout: float = 30.0, attempts: int = 3, wait: float = 1.0) -> Fetcher:
+    """Fetcher for HTTP GET of prefix + reference.
+
+    A failure that may pass is tried again, after a wait that doubles; one that will not, such as 404, ends at once.
+    """
+    if attempts < 1:
+        raise ValueError("attempts must be at least 1")
 
     def fetch(reference: str) -> bytes:
         from urllib.request import urlopen
@@ -71,10 +90,11 @@ def http_fetcher(prefix: str = "", timeout: float = 30.0, attempts: int = 3) ->
             try:
                 with urlopen(prefix + reference, timeout=timeout) as response:
                     return response.read()
-            except OSError:
-                if attempt + 1 == attempts:
+            except OSError as failure:
+                if attempt + 1 == attempts or is_permanent(failure):
                     raise
-        raise ValueError("attempts must be at least 1")
+                time.sleep(wait * 2**attempt)
+        raise AssertionError("the loop returns or raises")
 
     return fetch
 
@@ -142,9 +162,12 @@ def map_references(
     error_col: str = "error",
     parallel: int = 8,
     chunk_rows: int = 64,
+    finish: Callable[[list[object]], list[object]] | None = None,
 ) -> DataFrame:
     """Append ``call(reference)`` and its error text to every row, in Arrow batches.
 
+    ``finish`` turns the values of a chunk, NULL for a failure, into those that are appended.
+
     A reference repeated within a chunk is called once, and latest results are kept, so that a
     reference of many rows costs about one call per task. Calls run in a small thread pool, since
     they mostly wait. Values leave in chunks of ``chunk_rows`` so that large ones never pile up to
@@ -164,7 +187,11 @@ def map_references(
                     chunk = batch.slice(start, chunk_rows)
                     refs = chunk.column(position).to_pylist()
                     unique = list(dict.fromkeys(refs))
-                    results = dict(zip(unique, pool.map(safe_call, unique)))
+                    called = list(pool.map(safe_call, unique))
+                    found = [value for value, _ in called]
+                    if finish is not None:
+                        found = finish(found)
+                    results = {ref: (value, error) for ref, value, (_, error) in zip(unique, found, called)}
                     values = pa.array([results[ref][0] for ref in refs], type=arrow_type)
                     errors = pa.array([results[ref][1] for ref in refs], type=pa.string())
                     yield pa.RecordBatch.from_arrays([*chunk.columns, values, errors], names=names)

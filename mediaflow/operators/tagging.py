@@ -28,10 +28,15 @@ def filter_by_list(
     keys: DataFrame,
     column: str,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    filter_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Keep rows whose column is on a list held as a table; repeats on the list change nothing."""
+    """Keep rows whose column is on a list held as a table; repeats on the list change nothing.
+
+    A list over ``limit_bytes`` is joined by a shuffle, of which a Bloom filter of up to ``filter_bytes`` spares most
+    rows that are not listed; 0 goes without.
+    """
     listed = keys.select(column).filter(F.col(column).isNotNull()).distinct()
-    return lookup_join(df, listed, column, "left_semi", limit_bytes)
+    return lookup_join(df, listed, column, "left_semi", limit_bytes, filter_bytes)
 
 
 def with_label(df: DataFrame, label: int, label_col: str = "contaminated") -> DataFrame:
@@ -67,12 +72,14 @@ def tag(
     label_col: str = "contaminated",
     on_conflict: str = "keep",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    filter_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Keep the rows of ``df`` whose key is labelled and append the label, in one scan of ``df``.
 
     A NULL key matches nothing and repeated label rows do not multiply records. For a key with two
     labels ``on_conflict`` says what to do: ``keep`` gives the record once per label, ``drop``
-    leaves it out, ``error`` raises.
+    leaves it out, ``error`` raises. Labels over ``limit_bytes`` are joined by a shuffle; most records are unlabelled as
+    a rule, and a Bloom filter of the label keys (``filter_bytes`` at most, 0 for none) drops them in the scan.
     """
     require_columns(df, [key])
     require_columns(labels, [key, label_col])
@@ -93,7 +100,7 @@ def tag(
         lookup = lookup.filter(F.col(label_col) == F.col("__high")).drop("__high")
     else:
         raise ValueError(f"on_conflict must be keep, drop or error, not {on_conflict!r}")
-    joined = lookup_join(df, lookup, key, "inner", limit_bytes)
+    joined = lookup_join(df, lookup, key, "inner", limit_bytes, filter_bytes)
     return joined.select(*[F.col(f"`{name}`") for name in df.columns], label_col)
 
 

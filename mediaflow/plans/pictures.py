@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaflow.operators import images, payload
+from mediaflow.operators import fetching, images, payload
 from mediaflow.plans.arrays import SIDE, exploded
 from mediaflow.plans.registry import query, table
 from mediaflow.sources import media
@@ -30,13 +30,18 @@ def _grey(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value))).cast("int")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out to every core. A count is given, since adaptive execution joins small partitions otherwise."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def picture_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(vec_id, label, pixels): 8 x 8 x 3 values 0 to 255 per embedding."""
     dots = F.transform(
         F.transform("embedding", lambda v: v.cast("double")),
         lambda v: F.array(_grey(127.5 + 127.5 * v), _grey(127.5 - 127.5 * v), _grey(255.0 * v * v)),
     )
-    scan = table(spark, folder, "embeddings").repartition("vec_id")
+    scan = spread(table(spark, folder, "embeddings"), "vec_id")
     return scan.select("vec_id", "label", F.flatten(dots).alias("pixels"))
 
 
@@ -102,6 +107,29 @@ def fetch_payload(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "fetch_resumed",
+    f"""select d.doc_id, case when e.vec_id is null then null else {FILE_BYTES} end::int as n_bytes,
+    e.vec_id is null as failed, 1 as tries from documents d left join embeddings e on e.vec_id = d.doc_id""",
+)
+def fetch_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched in two runs: half of the references, then all; each is asked for once."""
+    fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
+    path = scratch_path(spark, "attempts")
+    refs = table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("reference")
+    )
+    fetching.fetch_missing(refs.filter("doc_id % 2 = 0"), "reference", fetch, path)
+    fetching.fetch_missing(refs, "reference", fetch, path, slices=2)
+    tries = fetching.read_attempts(spark, path).groupBy("reference").agg(F.sum("tries").cast("int").alias("tries"))
+    return fetching.with_fetched(refs, "reference", path).join(tries, "reference").select(
+        "doc_id",
+        F.octet_length("payload").alias("n_bytes"),
+        F.col("error").isNotNull().alias("failed"),
+        "tries",
+    )
+
+
 @query(
     "failure_counts",
     """select count(*) as n_rows, count(*) filter (e.vec_id is null) as n_failed
@@ -115,7 +143,7 @@ def _fetched(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads for every document, of which those without an embedding have no file."""
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
     scan = table(spark, folder, "documents").select("doc_id")
-    refs = scan.repartition("doc_id").select(
+    refs = spread(scan, "doc_id").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("reference")
     )
     return payload.fetch_payload(refs, "reference", fetch)
@@ -190,7 +218,7 @@ TARGET_SIDE = 32
 def image_materialise(spark: SparkSession, folder: str) -> DataFrame:
     fetch = payload.file_fetcher(picture_files(spark, folder, by_class=False))
     scan = table(spark, folder, "documents").select("doc_id")
-    refs = scan.repartition("doc_id").select(
+    refs = spread(scan, "doc_id").select(
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".bmp")).alias("accessuri")
     )
     rows = images.materialise_images(refs, "accessuri", fetch, TARGET_SIDE, TARGET_SIDE)

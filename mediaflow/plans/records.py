@@ -24,7 +24,7 @@ def _listed(spark: SparkSession, folder: str, flag: str) -> DataFrame:
     return table(spark, folder, "labels").filter(F.col(flag) == 1).select("doc_id")
 
 
-def _label_table(spark: SparkSession, folder: str) -> DataFrame:
+def label_lists(spark: SparkSession, folder: str) -> DataFrame:
     lists = [
         (_listed(spark, folder, "quality"), tagging.CLEAN),
         (_listed(spark, folder, "toxic"), tagging.CONTAMINATED),
@@ -54,7 +54,7 @@ where d.doc_id in (select doc_id from labels where toxic = 1)
 )
 def tag_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id")
-    tagged = tagging.tag(documents, _label_table(spark, folder), "doc_id")
+    tagged = tagging.tag(documents, label_lists(spark, folder), "doc_id")
     return tagging.tag_counts(tagged, "doc_id")
 
 
@@ -65,7 +65,7 @@ def tag_counts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tag_records(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "source")
-    return tagging.tag(documents, _label_table(spark, folder), "doc_id")
+    return tagging.tag(documents, label_lists(spark, folder), "doc_id")
 
 
 @query(
@@ -75,7 +75,7 @@ def tag_records(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tag_without_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id")
-    return tagging.tag(documents, _label_table(spark, folder), "doc_id", on_conflict="drop")
+    return tagging.tag(documents, label_lists(spark, folder), "doc_id", on_conflict="drop")
 
 
 @query(
@@ -115,7 +115,7 @@ def tag_union(spark: SparkSession, folder: str) -> DataFrame:
     intersect select doc_id from labels where toxic = 1""",
 )
 def label_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return tagging.label_conflicts(_label_table(spark, folder), "doc_id")
+    return tagging.label_conflicts(label_lists(spark, folder), "doc_id")
 
 
 @query(
@@ -447,7 +447,7 @@ def array_cast(spark: SparkSession, folder: str) -> DataFrame:
 def sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id")
     path = scratch_path(spark, "tagged")
-    tables.write_table(tagging.tag(documents, _label_table(spark, folder), "doc_id"), path)
+    tables.write_table(tagging.tag(documents, label_lists(spark, folder), "doc_id"), path)
     return tables.read_table(spark, path)
 
 
@@ -459,7 +459,7 @@ def sink_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id")
     path = scratch_path(spark, "overwritten")
     tables.write_table(documents, path)
-    tagged = tagging.tag(documents, _label_table(spark, folder), "doc_id")
+    tagged = tagging.tag(documents, label_lists(spark, folder), "doc_id")
     tables.write_table(tagged, path, overwrite=True, partition_by=["contaminated"])
     back = tables.read_table(spark, path)
     return back.groupBy("contaminated").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -1,7 +1,7 @@
 """Shared storage for checkpoints and intermediate tables.
 
-The folder comes from the session's ``spark.checkpoint.dir``. Only a session in local mode, where
-driver and executors share one machine, may fall back to a temporary folder.
+The folder comes from the session's ``spark.checkpoint.dir``; where that is unset, it is a folder in the session's
+warehouse. Moving and deleting go through the file system of the path, as Spark itself sees it.
 """
 
 from __future__ import annotations
@@ -37,3 +37,27 @@ def arrow_path(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path, for tasks that read or write single files."""
     filesystem, path = fs.FileSystem.from_uri(uri)
     return filesystem, path.rstrip("/")
+
+
+def _location(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    filesystem, location = _location(spark, path)
+    return filesystem.exists(location)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all it holds; a path that is not there is no fault."""
+    filesystem, location = _location(spark, path)
+    filesystem.delete(location, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename within one file system; fails where the target exists."""
+    filesystem, start = _location(spark, source)
+    _, end = _location(spark, target)
+    if filesystem.exists(end) or not filesystem.rename(start, end):
+        raise OSError(f"cannot move {source} to {target}")
