@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.functions.tensors import scale_by, to_vector
 from mediaflow.operators import features, images, network
+from mediaflow.operators.linear import LinearClassifier, class_scores, with_one
 from mediaflow.operators.sampling import hash_split
 from mediaflow.operators.training import AveragedNetwork, AveragedNetworkModel
 from mediaflow.plans.arrays import CLASSES, PIXELS_SQL, SIDE, pixel_rows
@@ -314,17 +315,26 @@ def cnn_predict(spark: SparkSession, folder: str) -> DataFrame:
     return trainer.fit(train).transform(test).select("vec_id", "label", _is_class(2))
 
 
-@query(
-    "staged_predict",
-    f"""with lines as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id,
-    l_returnflag as category from lineitem),
-    parts as (select *, {HELD_OUT.format(key="id")} as held from lines),
-    ranks as (select category, (row_number() over (order by count(*) desc, category) - 1)::double as index_category
-    from parts where not held group by category)
-    select id, index_category, true as is_class from parts join ranks using (category) where held""",
-)
+# Mean and spread of the features of the training rows, one linear step from zero weights over them, and the class of
+# the largest score for the rows held out.
+STAGED_SQL = f"""with lines as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id,
+l_returnflag as category, [l_quantity, l_extendedprice, l_discount, l_tax] as x from lineitem),
+parts as (select *, {HELD_OUT.format(key="id")} as held from lines),
+ranks as (select category, (row_number() over (order by count(*) desc, category) - 1)::int as k
+from parts where not held group by category),
+cells as (select id, k, held, unnest(range(4)) as j, unnest(x) as v from parts join ranks using (category)),
+spread as (select j, avg(v) as mean, stddev_samp(v) as sd from cells where not held group by j),
+scaled as (select id, k, held, j, case when sd = 0 then 0 else (v - mean) / sd end as z from cells join spread using (j)
+union all select id, k, held, 4, 1.0 from parts join ranks using (category)),
+weights as (select c, j, avg((case when k = c then 1.0::double else 0.0 end - 1 / 3.0::double) * z) as w
+from scaled, (select unnest(range(3)) as c) where not held group by c, j),
+scores as (select id, k, c, sum(z * w) as s from scaled join weights using (j) where held group by id, k, c)
+select id, k::double as index_category, arg_max(c, s)::double as prediction from scores group by id, k"""
+
+
+@query("staged_predict", STAGED_SQL)
 def staged_predict(spark: SparkSession, folder: str) -> DataFrame:
-    """Label index, standardisation and network fitted as one unit on one split of the lines."""
+    """Label index, standardisation and classifier fitted as one unit on one split of the lines, applied to the other."""
     numbers = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = table(spark, folder, "lineitem").select(
@@ -335,14 +345,43 @@ def staged_predict(spark: SparkSession, folder: str) -> DataFrame:
         stages=[
             features.string_indexer("category", "index_category"),
             features.standard_scaler("features", "scaled_features"),
-            AveragedNetwork(
-                spec=network.dense_spec(4, 3, (16,), 0.0),
-                featuresCol="scaled_features",
-                labelCol="index_category",
-                optimizer="adam",
-                epochs=2,
-                batchSize=128,
-            ),
+            LinearClassifier(featuresCol="scaled_features", labelCol="index_category", numClasses=3),
         ]
     )
-    return stages.fit(train).transform(test).select("id", "index_category", _is_class(3))
+    return stages.fit(train).transform(test).select("id", "index_category", "prediction")
+
+
+def _step_sql(before: str | None, part: int) -> str:
+    """Weights (c, j, w) after a step over one of two parts of the cells (vec_id, label, part, j, v)."""
+    scores = "select vec_id, c, 0.0::double as s from cells, classes where j = 0" if before is None else (
+        f"select vec_id, c, sum(v * w) as s from cells join {before} using (j) group by vec_id, c"
+    )
+    old = "0.0::double" if before is None else f"(select w from {before} b where b.c = t.c and b.j = t.j)"
+    return f"""select c, j, {old} - 2.0::double * slope as w from (
+    select c, j, avg((p - case when label = c then 1.0::double else 0.0 end) * v) as slope from cells join (
+    select vec_id, c, exp(s) / sum(exp(s)) over (partition by vec_id) as p from ({scores})) using (vec_id)
+    where part = {part} group by c, j) t"""
+
+
+@query(
+    "linear_steps",
+    f"""with classes as (select unnest(range({CLASSES})) as c),
+    dealt as (select vec_id, label, embedding, floor(('0x' || substr(md5(vec_id::varchar || ':5'), 1, 8))::bigint
+    / 4294967296.0::double * 2)::int as part from embeddings),
+    cells as (select vec_id, label, part, unnest(range(64)) as j, unnest(embedding)::double as v from dealt
+    union all select vec_id, label, part, 64, 1.0::double from dealt),
+    first as ({_step_sql(None, 0)}),
+    second as ({_step_sql("first", 1)}),
+    scores as (select vec_id, label, c, sum(v * w) as s from cells join second using (j) group by vec_id, label, c)
+    select vec_id, label, arg_max(c, s)::double as prediction, round(max(s), 9) as score from scores group by vec_id, label""",
+)
+def linear_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Two steps over two mini-batches; each row's class and its score."""
+    rows = table(spark, folder, "embeddings")
+    trainer = LinearClassifier(
+        featuresCol="embedding", numClasses=CLASSES, steps=2, batches=2, rate=2.0, idCol="vec_id", seed=5
+    )
+    model = trainer.fit(rows)
+    scores = class_scores(with_one(rows, "embedding"), model.matrix())
+    told = model.transform(rows).withColumn("score", F.round(F.array_max(scores), 9))
+    return told.select("vec_id", "label", "prediction", "score")
