@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,25 @@ def confusion_long(df: DataFrame, truth: str = "label", predicted: str = "predic
     return df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _known(column: str, classes: Sequence[int]) -> Column:
+    """The class a value stands for, NULL for none. Models predict doubles; as whole numbers they match the names."""
+    value = F.col(column).cast("int")
+    return F.when(value.isin(list(classes)), value)
+
+
+def _per_class(cells: DataFrame, classes: Sequence[int | None], name: str) -> DataFrame:
+    """A row for each class with all the cells in it, which classes bound in number; no join, and no class is missing."""
+    together = cells.agg(F.collect_list(F.struct(*cells.columns)).alias("__cells"))
+    rows = F.array(*[F.lit(c).cast("int") for c in classes])
+    return together.select(F.explode(rows).alias(name), "__cells")
+
+
+def _cells_where(condition: Callable[[Column], Column]) -> Column:
+    """Rows in those cells that meet a condition."""
+    chosen = F.filter("__cells", condition)
+    return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda total, cell: total + cell["n"])
+
+
 def confusion_wide(
     df: DataFrame,
     classes: Sequence[int],
@@ -27,21 +46,17 @@ def confusion_wide(
     Classes that never occur are shown with zeros, on both sides. Whatever is NULL or none of the
     classes counts in a row whose truth is NULL and in ``predicted_other``, so the cells sum to the rows.
     """
-    spark = df.sparkSession
     known = [int(c) for c in classes]
+    pairs = df.select(_known(truth, known).alias("t"), _known(predicted, known).alias("p"))
+    cells = pairs.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
 
-    def named(column: str) -> Column:
-        # Models predict doubles; as whole numbers they match the class names.
-        value = F.col(column).cast("int")
-        return F.when(value.isin(known), value)
+    def cell(column: int | None) -> Column:
+        of_row = F.col(truth)
+        return _cells_where(lambda c: c["t"].eqNullSafe(of_row) & c["p"].eqNullSafe(F.lit(column)))
 
-    columns = {f"predicted_{c}": F.count_if(F.col("__predicted") == c) for c in known}
-    columns["predicted_other"] = F.count_if(F.col("__predicted").isNull())
-    pairs = df.select(named(truth).alias("__truth"), named(predicted).alias("__predicted"))
-    counted = pairs.groupBy("__truth").agg(*[n.alias(name) for name, n in columns.items()])
-    rows = spark.createDataFrame([*[(c,) for c in known], (None,)], f"{truth} int")
-    full = rows.join(counted, F.col(truth).eqNullSafe(F.col("__truth")), "left").drop("__truth")
-    return full.fillna(0, list(columns))
+    names = {f"predicted_{c}": c for c in known} | {"predicted_other": None}
+    rows = _per_class(cells, [*known, None], truth)
+    return rows.select(truth, *[cell(column).alias(name) for name, column in names.items()])
 
 
 def accuracy(df: DataFrame, truth: str = "label", predicted: str = "prediction") -> DataFrame:
@@ -57,23 +72,21 @@ def precision_recall(
 ) -> DataFrame:
     """Per class: hits, predicted rows, true rows, precision and recall (NULL where undefined).
 
-    The rows are counted once by (truth, prediction), then those cells by either; a truth or prediction
-    that is none of the classes counts against the class on its other side.
+    The rows are counted once by (truth, prediction); a truth or prediction that is none of the classes counts against
+    the class on its other side.
     """
-    cells = confusion_long(df, truth, predicted)
-    by_truth = cells.groupBy(F.col(truth).cast("int").alias("class")).agg(
-        F.sum("n").alias("n_true"),
-        F.sum(F.when(F.col(truth) == F.col(predicted), F.col("n")).otherwise(0)).alias("n_hit"),
-    )
-    by_prediction = cells.groupBy(F.col(predicted).cast("int").alias("class")).agg(
-        F.sum("n").alias("n_predicted")
-    )
-    rows = df.sparkSession.createDataFrame([(int(c),) for c in classes], "class int")
+    known = [int(c) for c in classes]
+    hit = F.coalesce(F.col(truth) == F.col(predicted), F.lit(False))
+    pairs = df.select(_known(truth, known).alias("t"), _known(predicted, known).alias("p"), hit.alias("hit"))
+    cells = pairs.groupBy("t", "p", "hit").agg(F.count(F.lit(1)).alias("n"))
     return (
-        rows.join(by_truth, "class", "left")
-        .join(by_prediction, "class", "left")
-        .fillna(0, ["n_hit", "n_predicted", "n_true"])
-        .select("class", "n_hit", "n_predicted", "n_true")
+        _per_class(cells, known, "class")
+        .select(
+            "class",
+            _cells_where(lambda c: c["hit"] & (c["t"] == F.col("class"))).alias("n_hit"),
+            _cells_where(lambda c: c["p"] == F.col("class")).alias("n_predicted"),
+            _cells_where(lambda c: c["t"] == F.col("class")).alias("n_true"),
+        )
         .withColumn("precision", F.try_divide("n_hit", "n_predicted"))
         .withColumn("recall", F.try_divide("n_hit", "n_true"))
     )

@@ -23,6 +23,8 @@ from mediaflow.shipping import ship_package
 
 LANCZOS_LOBES = 3
 FIXED_POINT_BITS = 22
+# Values of pictures that are resized in one product.
+GROUP_VALUES = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -127,41 +129,61 @@ def lanczos_matrix(size_in: int, size_out: int) -> np.ndarray:
     return np.trunc(scaled + np.copysign(0.5, scaled)).astype(np.int64)
 
 
-def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Resize to exactly (height, width), whatever the aspect ratio, rounding after each axis."""
+def resize_group(pictures: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resize pictures (n, h, w, c) of one shape to exactly (height, width), rounding after each axis.
+
+    An axis is one matrix product for all of them.
+    """
     half = 1 << (FIXED_POINT_BITS - 1)
-    out = pixels
-    if out.shape[1] != width:
+
+    def along(out: np.ndarray, axis: int, size: int) -> np.ndarray:
+        if out.shape[axis] == size:
+            return out
         # Products stay below 2**53, so the matrix product in doubles is exact.
-        weights = lanczos_matrix(out.shape[1], width).astype(np.float64)
-        mixed = np.einsum("hwc,ow->hoc", out.astype(np.float64), weights, optimize=True)
-        out = np.clip((mixed.astype(np.int64) + half) >> FIXED_POINT_BITS, 0, 255)
-    if out.shape[0] != height:
-        weights = lanczos_matrix(out.shape[0], height).astype(np.float64)
-        mixed = np.einsum("hwc,oh->owc", out.astype(np.float64), weights, optimize=True)
-        out = np.clip((mixed.astype(np.int64) + half) >> FIXED_POINT_BITS, 0, 255)
-    return out.astype(np.uint8)
+        weights = lanczos_matrix(out.shape[axis], size).astype(np.float64)
+        mixed = np.tensordot(weights, out.astype(np.float64), axes=(1, axis))
+        return np.moveaxis(np.clip((mixed.astype(np.int64) + half) >> FIXED_POINT_BITS, 0, 255).astype(np.uint8), 0, axis)
 
+    return along(along(pictures, 2, width), 1, height).astype(np.uint8)
 
-def flat_pixels(content: bytes, height: int | None = None, width: int | None = None) -> np.ndarray:
-    """Decode, resize if a size is given, and flatten to interleaved 32-bit floats."""
-    pixels = decode(content)
-    if height is not None and width is not None:
-        pixels = resize(pixels, height, width)
-    return pixels.astype(np.float32).ravel()
+
+def resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Resize one picture to exactly (height, width), whatever the aspect ratio."""
+    return resize_group(pixels[None], height, width)[0]
+
+
+def flattened(
+    pictures: list[np.ndarray | None], height: int | None = None, width: int | None = None
+) -> list[np.ndarray | None]:
+    """Pictures as interleaved 32-bit floats, resized if a size is given: those of one shape together."""
+    out: list[np.ndarray | None] = [None] * len(pictures)
+    if height is None or width is None:
+        return [None if p is None else p.astype(np.float32).ravel() for p in pictures]
+    shapes: dict[tuple[int, ...], list[int]] = {}
+    for i, picture in enumerate(pictures):
+        if picture is not None:
+            shapes.setdefault(picture.shape, []).append(i)
+    for shape, members in shapes.items():
+        step = max(1, GROUP_VALUES // int(np.prod(shape)))
+        for at in range(0, len(members), step):
+            group = members[at : at + step]
+            small = resize_group(np.stack([pictures[i] for i in group]), height, width)
+            for i, flat in zip(group, small.reshape(len(group), -1).astype(np.float32)):
+                out[i] = flat
+    return out
 
 
 class PictureReader:
-    """Fetch, decode, resize and flatten in one call, with the size fixed."""
+    """Fetch and decode in one call."""
 
-    def __init__(self, fetch: Fetcher | None, height: int | None, width: int | None) -> None:
+    def __init__(self, fetch: Fetcher | None) -> None:
         self.fetch = fetch
-        self.height = height
-        self.width = width
 
     def __call__(self, argument: str | bytes) -> np.ndarray:
-        content = argument if self.fetch is None else self.fetch(argument)
-        return flat_pixels(content, self.height, self.width)
+        pixels = decode(argument if self.fetch is None else self.fetch(argument))
+        if 0 in pixels.shape:
+            raise ValueError(f"picture of shape {pixels.shape}")
+        return pixels
 
 
 def decode_images(
@@ -174,7 +196,7 @@ def decode_images(
 ) -> DataFrame:
     """Append the pixel array of every picture; a failure gives NULL and the reason."""
     require_columns(df, [content_col])
-    return _append_pixels(df, content_col, PictureReader(None, height, width), output_col, error_col, 1)
+    return _append_pixels(df, content_col, None, height, width, output_col, error_col, 1)
 
 
 def materialise_images(
@@ -194,21 +216,34 @@ def materialise_images(
     """
     require_columns(df, [ref_col])
     spread = df if num_partitions is None else df.repartition(num_partitions)
-    reader = PictureReader(fetch, height, width)
-    return _append_pixels(spread, ref_col, reader, output_col, error_col, parallel)
+    return _append_pixels(spread, ref_col, fetch, height, width, output_col, error_col, parallel)
 
 
 def _append_pixels(
     df: DataFrame,
     source_col: str,
-    reader: Callable[[object], np.ndarray],
+    fetch: Fetcher | None,
+    height: int | None,
+    width: int | None,
     output_col: str,
     error_col: str,
     parallel: int,
 ) -> DataFrame:
-    pixels = T.ArrayType(T.FloatType())
+    """Pictures are fetched and decoded one by one, then resized by shape."""
+
+    def finish(pictures: list[np.ndarray | None]) -> list[np.ndarray | None]:
+        return flattened(pictures, height, width)
+
     return map_references(
-        df, source_col, reader, output_col, pixels, pa.list_(pa.float32()), error_col, parallel
+        df,
+        source_col,
+        PictureReader(fetch),
+        output_col,
+        T.ArrayType(T.FloatType()),
+        pa.list_(pa.float32()),
+        error_col,
+        parallel,
+        finish=finish,
     )
 
 
@@ -229,14 +264,11 @@ def flatten_rasters(
         picture = np.frombuffer(row["data"].as_buffer(), np.uint8).reshape(shape)
         if shape[2] >= 3:
             picture = np.concatenate([picture[:, :, 2::-1], picture[:, :, 3:]], axis=2)
-        if height is not None and width is not None:
-            picture = resize(picture, height, width)
-        return picture.astype(np.float32).ravel()
+        return picture
 
     def convert(part: pa.RecordBatch) -> list[np.ndarray | None]:
-        return [
-            one({name: part.column(i)[r] for name, i in at.items()}) for r in range(part.num_rows)
-        ]
+        pictures = [one({name: part.column(i)[r] for name, i in at.items()}) for r in range(part.num_rows)]
+        return flattened(pictures, height, width)
 
     return _replace_by_pixels(df, "data", output_col, convert)
 
@@ -258,11 +290,10 @@ def resize_pixels(
         if not values.is_valid or len(values) != expected or values.values.null_count:
             return None
         flat = values.values.to_numpy(zero_copy_only=False)
-        picture = np.clip(np.rint(flat), 0, 255).astype(np.uint8).reshape(*from_shape, channels)
-        return resize(picture, *to_shape).astype(np.float32).ravel()
+        return np.clip(np.rint(flat), 0, 255).astype(np.uint8).reshape(*from_shape, channels)
 
     def convert(part: pa.RecordBatch) -> list[np.ndarray | None]:
-        return [one(values) for values in part.column(at)]
+        return flattened([one(values) for values in part.column(at)], *to_shape)
 
     return _replace_by_pixels(df, pixels_col, output_col or pixels_col, convert)
 
