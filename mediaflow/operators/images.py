@@ -6,9 +6,6 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from importlib import import_module
-from io import BytesIO
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +24,12 @@ FIXED_POINT_BITS = 22
 GROUP_VALUES = 1 << 21
 
 
-@lru_cache(maxsize=1)
-def _pillow() -> ModuleType | None:
-    try:
-        return import_module("PIL.Image")
-    except ImportError:
-        return None
-
-
 def decode(content: bytes) -> np.ndarray:
-    """Picture bytes to a (height, width, channels) array of 8-bit values.
+    """Picture bytes to a (height, width, channels) array of 8-bit values, the same on every worker.
 
-    Uses the Pillow library where the workers have it, which covers every common format. Without
-    it, uncompressed BMP and 8-bit PNG are read here; whole trees of other files go through
-    ``sources.media.read_decoded_images``.
+    Uncompressed BMP and 8-bit PNG are read here. All other formats, JPEG and TIFF among them, go through Spark's own
+    decoder: ``sources.media.decode_stored`` for payloads, ``sources.media.read_decoded_images`` for trees of files.
     """
-    pillow = _pillow()
-    if pillow is not None:
-        pixels = np.asarray(pillow.open(BytesIO(content)))
-        return pixels[:, :, None] if pixels.ndim == 2 else pixels
     if content.startswith(b"BM"):
         return _decode_bmp(content)
     if content.startswith(b"\x89PNG\r\n\x1a\n"):

@@ -163,6 +163,21 @@ def image_decode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "image_decode_stored",
+    f"""select vec_id, unnest(range(192))::int as pos, unnest(x)::double as value
+    from ({PICTURE_SQL})""",
+)
+def image_decode_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads in a column, decoded by Spark's image source."""
+    content = images.bmp_bytes("pixels", SIDE, SIDE).alias("content")
+    files = picture_rows(spark, folder).select("vec_id", content)
+    decoded = media.decode_stored(files, "content")
+    return exploded(decoded, F.col("imgnpa"), "vec_id").withColumn(
+        "value", F.col("value").cast("double")
+    )
+
+
 def _weights_sql(size_out: int) -> str:
     """Rows (o, i, w): fixed-point weight of input position i for output position o."""
     step = f"(8 / {size_out}::double)"

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from mediaflow.operators.features import string_indexer
 from mediaflow.operators.images import flatten_rasters
+from mediaflow.operators.joins import lookup_join
+from mediaflow.schemas import require_columns
 from mediaflow.shipping import ship_package
-from mediaflow.storage import arrow_path
+from mediaflow.storage import arrow_path, scratch_path
 
 
 def class_of_path(path: str | Column) -> Column:
@@ -111,3 +113,44 @@ def write_files(df: DataFrame, root: str, name_col: str, content_col: str) -> Da
     chosen = df.select(F.col(name_col).alias("name"), F.col(content_col).alias("content"))
     ship_package(df.sparkSession)
     return chosen.mapInArrow(run, "name string, n_bytes bigint")
+
+
+def decode_stored(
+    df: DataFrame,
+    content_col: str,
+    height: int | None = None,
+    width: int | None = None,
+    output_col: str = "imgnpa",
+    error_col: str = "error",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Append the pixel array of every payload, decoded by Spark's image source: JPEG, PNG, GIF, BMP and TIFF.
+
+    One decoder serves every row, whatever the workers have installed. The source reads files, so each distinct payload
+    is written to the shared folder once, in one of 256 folders by its digest, and its pixels are joined back by that
+    digest: equal payloads are stored and decoded once. It takes a small file for each; BMP and PNG alone need none,
+    see ``operators.images.decode_images``. A payload that is no picture, or NULL, gives NULL and a reason.
+    """
+    require_columns(df, [content_col])
+    spark = df.sparkSession
+    root = scratch_path(spark, "payloads")
+    digest = F.sha2(F.col(f"`{content_col}`"), 256)
+    files = (
+        df.filter(F.col(f"`{content_col}`").isNotNull())
+        .select(F.concat(F.substring(digest, 1, 2), F.lit("/"), digest).alias("name"), F.col(f"`{content_col}`").alias("content"))
+        # A digest decides the content, so the first is as good as any; copies meet before a file is written.
+        .groupBy("name")
+        .agg(F.first("content").alias("content"))
+        .repartition(num_partitions or spark.sparkContext.defaultParallelism, "name")
+    )
+    # The folder must be there to be read, also where there is nothing to write.
+    if write_files(files, root, "name", "content").agg(F.count(F.lit(1)).alias("n")).first()["n"]:
+        decoded = read_decoded_images(spark, root, height, width).select(
+            F.element_at(F.split("path", "/"), -1).alias("__digest"), F.col("imgnpa").alias(output_col)
+        )
+    else:
+        decoded = spark.createDataFrame([], f"__digest string, `{output_col}` array<float>")
+    joined = lookup_join(df.withColumn("__digest", digest), decoded, "__digest", "left")
+    reason = F.when(F.col(f"`{content_col}`").isNull(), "no payload").when(F.col(output_col).isNull(), "no picture that can be read")
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in (output_col, error_col)]
+    return joined.select(*kept, F.col(output_col), reason.alias(error_col))

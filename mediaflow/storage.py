@@ -6,6 +6,7 @@ warehouse. Moving and deleting go through the file system of the path, as Spark
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
@@ -29,8 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; what lies there goes when the driver's program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_tidy, spark, path)
+    return path
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    try:
+        delete_path(spark, path)
+    except Exception:  # the session is gone, and its folder is the cluster's to clean
+        pass
 
 
 def arrow_path(uri: str) -> tuple[fs.FileSystem, str]:
