@@ -175,12 +175,12 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def sequence_of(documents: DataFrame) -> DataFrame:
-    """(key, h, n, next_key, next_h): each document's successor by (key, h), the last one's being the first.
+    """(key, h, n, doc_id, next_key, next_h): each document's successor by (key, h), the last one's being the first.
 
     A range sort deals the documents to partitions in order; within them the successor is the next row, at
     their ends it is the first of the next partition, of which there is a row per partition.
     """
-    rows = documents.select("key", "h", "n").distinct()
+    rows = documents.select("key", "h", "n", "doc_id").distinct()
     ranged = rows.repartitionByRange("key", "h").withColumn("part", F.spark_partition_id())
     ranged = stored(ranged, "order")
     firsts = ranged.groupBy("part").agg(F.min(F.struct("key", "h")).alias("first"))
@@ -197,7 +197,7 @@ def sequence_of(documents: DataFrame) -> DataFrame:
         ranged.withColumn("next", F.lead(F.struct("key", "h")).over(in_part))
         .join(F.broadcast(after), "part")
         .withColumn("next", F.coalesce("next", "after"))
-        .select("key", "h", "n", F.col("next.key").alias("next_key"), F.col("next.h").alias("next_h"))
+        .select("key", "h", "n", "doc_id", F.col("next.key").alias("next_key"), F.col("next.h").alias("next_h"))
     )
 
 
@@ -221,18 +221,25 @@ def edited_pairs(documents: DataFrame, id_col: str, text_col: str, in_band) -> D
     order = sequence_of(keyed)
     quarter = F.floor(F.col("n") / 4).cast("int")
     once = Window.partitionBy("key", "h").orderBy("key", "h")
-    whole = keyed.withColumn("copy", F.row_number().over(once)).filter("copy = 1").drop("copy")
+    # Both uses below read these three columns and no others, so that they share one exchange of the texts.
+    whole = (
+        keyed.select("key", "h", "text").withColumn("copy", F.row_number().over(once)).filter("copy = 1").drop("copy")
+    )
     lenders = order.select(
         F.col("key").alias("to_key"),
         F.col("h").alias("to_h"),
-        quarter.alias("borrowed"),
+        "doc_id",
+        "n",
+        quarter.alias("quarter"),
         F.col("next_key").alias("key"),
         F.col("next_h").alias("h"),
     )
     lent = whole.join(lenders, ["key", "h"]).select(
         F.col("to_key").alias("key"),
         F.col("to_h").alias("h"),
-        F.left("text", F.col("borrowed")).alias("borrowed"),
+        "doc_id",
+        "n",
+        F.left("text", F.col("quarter")).alias("borrowed"),
         fingerprint(F.col("text"), in_band).alias("next_print"),
     )
     edited = whole.join(lent, ["key", "h"]).withColumn(
