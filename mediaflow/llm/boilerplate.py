@@ -11,8 +11,9 @@ Spark does the sorting: suffixes are dealt out by the hash of host and prefix, w
 together as a suffix array would, without a task for a host. They are counted per page before the shuffle, and in
 tasks before it too, so a line on every page of a large host is a row per task.
 
-Defined cases: NULL or empty pages have empty text; a NULL url is a host of its own; rows equal in id, url and
-html are one page to the counting, yet each gives a row; other columns are ignored. A page is one task's work.
+Defined cases: NULL or empty pages have empty text; a page whose url is NULL or names no host is a host of its own; pages
+with one html are one page to the counting, whatever their ids and urls, yet each gives a row: copies of a page are no
+evidence against its text. Other columns are ignored. A page is one task's work.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def prefixes(texts: list[str], host: str) -> list[np.ndarray]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, page, text, blocks, at, prefix, seen): text where markup settled it, else the blocks and their
+    """(page_id, url, page, content, text, blocks, at, prefix, seen): text where markup settled it, else the blocks and their
     suffixes; seen has the distinct suffixes of everything but articles."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,11 +71,12 @@ def _parsed(pages: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 out: dict[str, list] = {name: [] for name in ("text", "blocks", "at", "prefix", "seen")}
-                for url, page in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
+                for url, content, page in zip(*(part.column(i).to_pylist() for i in (1, 3, 4))):
+                    host = host_of(url) or f"\0{content}"
                     cut = blocks(page or "")
                     article = [block.text for block in cut if block.kind == ARTICLE]
                     others = [block for block in cut if block.kind != ARTICLE]
-                    hashed = prefixes([block.text for block in others], host_of(url)) if others else []
+                    hashed = prefixes([block.text for block in others], host) if others else []
                     out["seen"].append(np.unique(np.concatenate(hashed)).view(np.int64) if hashed else [])
                     open_ = [(block.text, values) for block, values in zip(others, hashed) if block.kind != FURNITURE]
                     if article or not open_:
@@ -88,13 +90,13 @@ def _parsed(pages: DataFrame) -> DataFrame:
                 longs = pa.list_(pa.int64())
                 types = {"text": pa.string(), "blocks": pa.list_(pa.string()), "at": longs, "prefix": longs, "seen": longs}
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), *[pa.array(out[name], types[name]) for name in out]],
-                    ["page_id", "url", "page", *out],
+                    [*part.columns[:4], *[pa.array(out[name], types[name]) for name in out]],
+                    ["page_id", "url", "page", "content", *out],
                 )
 
     return pages.mapInArrow(
         parse,
-        "page_id bigint, url string, page bigint, text string, blocks array<string>, at array<bigint>, "
+        "page_id bigint, url string, page bigint, content bigint, text string, blocks array<string>, at array<bigint>, "
         "prefix array<bigint>, seen array<bigint>",
     )
 
@@ -127,17 +129,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.xxhash64(id_col, url_col, html_col).alias("page"),
+        F.xxhash64(html_col).alias("content"),
         F.col(html_col).alias("html"),
     )
     parsed = stored(_parsed(picked), "blocks")
-    # Equal rows are one page: they are told apart nowhere, so their suffixes count once.
-    seen = parsed.select("page", F.explode("seen").alias("prefix"))
-    repeated = (
-        seen.groupBy("prefix")
-        .agg(F.count("*").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"))
-        .filter((F.col("n") >= PAGES) & (F.col("low") != F.col("high")))
-        .select("prefix")
-    )
+    # Copies of a page count once.
+    seen = parsed.select("content", F.explode("seen").alias("prefix")).distinct()
+    repeated = seen.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES).select("prefix")
     unsettled = parsed.filter("text is null")
     covered = (
         unsettled.select("page", F.explode(F.arrays_zip("prefix", "at")).alias("s"))

@@ -37,11 +37,13 @@ _FURNITURE_NAMES = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos "
     "promotion banner cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay newsletter subscribe "
     "subscription signup signin login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars rail footer "
-    "header masthead topbar comment comments commentlist disqus respond reply replies related recommended recommendations "
-    "share sharing social widget widgets toolbar pagination pager skip hidden".split()
+    "header masthead topbar comment comments commentlist disqus discussion discussions feedback respond reply replies related "
+    "recommended recommendations share sharing social widget widgets toolbar pagination pager skip hidden".split()
 )
-# With these in a name, the element holds content ("no-sidebar", "content-with-menu").
-_CONTENT_NAMES = set("content main article body text no with has without".split())
+# With these in a name, it says what else the page has, or lacks ("no-sidebar", "content-with-menu").
+_OTHER_PLACE = set("no with has without".split())
+# Inside an article these hold its title.
+_HEADS = set("header masthead".split())
 
 
 @dataclass(slots=True)
@@ -50,8 +52,9 @@ class Block:
     text: str
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in _FURNITURE_TAGS:
+def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+    heads = _HEADS if in_article else frozenset()
+    if name in _FURNITURE_TAGS and name not in heads:
         return True
     if not attributes or attributes.isspace():
         return False
@@ -66,7 +69,7 @@ def _is_furniture(name: str, attributes: str) -> bool:
         if key in ("class", "id") and name not in ("html", "body", "main"):
             for word in value.split():
                 parts = [part.lower() for part in _NAME_PARTS.findall(word)]
-                if parts and not _CONTENT_NAMES & set(parts) and {parts[0], parts[-1]} & _FURNITURE_NAMES:
+                if parts and not _OTHER_PLACE & set(parts) and ({parts[0], parts[-1]} & _FURNITURE_NAMES) - heads:
                     return True
     return False
 
@@ -119,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if is_block:
             close()
         kind = stack[-1][1]
-        furniture = kind != FURNITURE and _is_furniture(name, tag[3])
+        furniture = kind != FURNITURE and _is_furniture(name, tag[3], kind == ARTICLE)
         if name in _VOID or tag[3].endswith("/") and not is_block:
             continue
         if furniture:
