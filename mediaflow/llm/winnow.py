@@ -11,8 +11,8 @@ The benchmark is the stated query set. It is cut into blocks of at most ``BLOCK_
 cut); each block is sent to the tasks and all documents pass it once. Documents never move, so no key, passage or
 frequent word can crowd a task; memory is one block and one pass of texts.
 
-Defined cases: NULL or wordless texts have no words and hit nothing; a NULL item id is the empty string; repeated
-items each count; repeated documents each give a row; empty tables give no rows or no hits. Other columns of the
+Defined cases: NULL or wordless texts have no words and hit nothing; a NULL item id is the empty string; items that share
+an id are listed once, in however many blocks they lie; repeated documents each give a row; empty tables give no rows or no hits. Other columns of the
 documents stay, and one named like a result is replaced.
 """
 
@@ -157,6 +157,7 @@ def _searched(documents: DataFrame, text_col: str, block: ItemBlock) -> DataFram
                     pairs.append(np.stack([np.repeat(seen[:, 0], many), of[flat]], axis=1))
                 for row, item in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else ():
                     items[row].append(block.ids[item])
+                items = [sorted(set(names)) for names in items]
                 # Runs of covered words, cut where a document ends.
                 covered = np.cumsum(change)[:-1] > 0
                 for row in np.flatnonzero(np.bincount(np.repeat(np.arange(n), np.diff(cuts))[covered], minlength=n)).tolist():
@@ -188,7 +189,7 @@ def searched(
     grouped = union.groupBy(*kept).agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.sum((F.col("block") == 0).cast("int")).alias("copies"),
     )
     return grouped.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
