@@ -11,16 +11,17 @@ before in the same one. Texts are UTF-8 bytes; matches never leave a document.
    texts of the stretches are indexed by a run-compressed transform and matched by streaming: of each name's
    different stretches, in document order, halves of pairs, of fours, of eights and so on are indexed, and the
    other halves stream through, so each stretch meets all before it in as many passes as the logarithm of
-   their number. Symbols carry the number of the pair, since only the own half counts.
+   their number. Symbols carry the number of the pair, since only the own half counts. Windows whose hash is unique
+   in their name stay out of it: they are no repeats, and most windows under a frequent phrase are of that kind.
 4. Windows whose matching statistic reaches ``LENGTH`` are repeats; their bytes are taken out.
 
 Equal stretches are found before the index is built, in tasks before the shuffle and again behind it, so what
 many documents share is indexed once.
 
-Defined cases: NULL is empty; texts shorter than ``LENGTH`` never change; rows equal in id and text are one document
-and each gets its result; rows with one id count in the order of a hash of the text; NULL ids come first. Other
-columns are ignored. Classes, names and stretches go by 64-bit hashes, where names and classes are only candidates for
-stretches: bytes decide.
+Defined cases: NULL is empty; texts shorter than ``LENGTH`` never change; rows equal in id and text are one document,
+whose places are never copies of themselves, and each gets its result; rows with one id count in the order of a hash of the text; NULL ids come first. Other
+columns are ignored. Whole copies are told by 128 bits of hash. Names and the texts that stretches are cut from go by
+64 bits, which only choose candidates: bytes decide.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaflow.llm.common import PrefixHash, byte_passes, sliding_min, stored
+from mediaflow.llm.common import STEP, PrefixHash, byte_passes, mix, sliding_min, stored
 from mediaflow.llm.runindex import RunIndex
 from mediaflow.shipping import ship_package
 
@@ -42,6 +43,7 @@ WIDTH = LENGTH - GRAM + 1
 INDEX_BYTES = 1 << 20
 # Windows of a stretch that stream as one pattern; longer ones are cut.
 PIECE = 256
+SECOND_HASH = 20241
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray):
@@ -133,11 +135,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     name, start, windows = place["name"], place["start"], place["windows"]
                     count = abs(windows)
                     content = data[start : start + count + LENGTH - 1]
+                    if len(content) < count + LENGTH - 1:
+                        # A place of another text with this one's hash.
+                        continue
                     row = (name, doc, h, start, count, windows < 0, content)
                     known = found.get((name, content))
                     if known is None:
                         found[name, content] = row
                         continue
+                    if known[1:4] == row[1:4]:
+                        # A row of the table that is there twice: one place is no copy of itself.
+                        continue
                     later, earlier = sorted((row, known), key=lambda r: r[1:4], reverse=True)
                     found[name, content] = earlier
                     out.append((*later[:6], None))
@@ -150,53 +158,107 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_windows(groups: list[list[bytes]], again: list[list[bool]]) -> list[list[np.ndarray]]:
-    """For each group of different stretches in order: which windows of each stand in an earlier one or before in it."""
-    found = [[np.zeros(len(content) - LENGTH + 1, bool) for content in group] for group in groups]
-    for g, group in enumerate(groups):
-        for i, content in enumerate(group):
-            if again[g][i]:
-                hashes = PrefixHash(np.frombuffer(content, np.uint8)).grams(LENGTH)
-                _, first = np.unique(hashes, return_index=True)
-                found[g][i][:] = True
-                found[g][i][first] = False
+class _Stretches:
+    """The stretches of some names side by side: bytes in one array, windows in another, numbered through."""
+
+    def __init__(self, groups: list[list[bytes]]):
+        contents = [content for group in groups for content in group]
+        sizes = np.array([len(content) for content in contents], np.int64)
+        self.data = np.frombuffer(b"".join(contents), np.uint8)
+        self.windows = sizes - LENGTH + 1
+        # First window of each stretch, and where each window starts in the bytes.
+        self.first = np.cumsum(self.windows) - self.windows
+        self.of = np.repeat(np.arange(len(contents)), self.windows)
+        self.at = np.repeat(np.cumsum(sizes) - sizes - self.first, self.windows) + np.arange(len(self.of))
+        self.hashes = PrefixHash(self.data).grams(LENGTH)[self.at]
+        counts = np.array([len(group) for group in groups], np.int64)
+        self.group = np.repeat(np.arange(len(groups)), counts)
+        self.members = np.repeat(counts, counts)
+        self.nth = np.arange(len(contents)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    def shared(self) -> np.ndarray:
+        """Windows that have the hash of another window of their name. All others are unique."""
+        keys = mix(self.hashes + self.group[self.of].astype(np.uint64) * STEP)
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        return counts[inverse] > 1
+
+    def inside(self, among: np.ndarray) -> np.ndarray:
+        """Those among the windows that stand before in their own stretch; hashes propose, bytes decide."""
+        chosen = np.flatnonzero(among)
+        keys = mix(self.hashes[chosen] + self.of[chosen].astype(np.uint64) * STEP)
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        earlier = chosen[first[inverse]]
+        later, earlier = chosen[earlier < chosen], earlier[earlier < chosen]
+        found = np.zeros(len(self.of), bool)
+        places = np.arange(LENGTH)
+        for i in range(0, len(later), 4096):
+            one, other = (self.at[w[i : i + 4096], None] + places for w in (later, earlier))
+            found[later[i : i + 4096]] = (self.data[one] == self.data[other]).all(axis=1)
+        return found
+
+    def runs(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last but one windows of the runs of marked ones, which end with their stretch."""
+        head, tail = marks.copy(), marks.copy()
+        head[1:] &= ~marks[:-1]
+        tail[:-1] &= ~marks[1:]
+        head[self.first] = marks[self.first]
+        tail[self.first[1:] - 1] = marks[self.first[1:] - 1]
+        tail[-1:] = marks[-1:]
+        return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+    def symbols(self, begin: np.ndarray, stop: np.ndarray, half: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes under runs of windows, one after another with ``gap`` zeros behind each, and where each begins.
+
+        Symbols carry the number of the pair of halves that a stretch is in.
+        """
+        lengths = stop - begin + LENGTH - 1
+        bounds = np.append(0, np.cumsum(lengths + gap))
+        out = np.zeros(bounds[-1], np.int64)
+        run = np.repeat(np.arange(len(begin)), lengths)
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        pair = self.nth[self.of[begin]] // (2 * half)
+        out[bounds[run] + inner] = self.data[self.at[begin][run] + inner] + 256 * pair[run] + 1
+        return out, bounds
+
+
+def _found(groups: list[list[bytes]], again: list[list[bool]]) -> tuple[_Stretches, np.ndarray]:
+    """The stretches, and which of all their windows stand in an earlier one of the name or before in their own."""
+    all_ = _Stretches(groups)
+    # Windows that no other shares a hash with are neither indexed nor streamed.
+    shared = all_.shared()
+    own = np.array([flag for group in again for flag in group], bool)
+    found = all_.inside(shared & own[all_.of])
     half = 1
-    while any(len(group) > half for group in groups):
-        indexed, streamed, targets = [], [], []
-        for g, group in enumerate(groups):
-            if len(group) <= half:
-                continue
-            for i, content in enumerate(group):
-                first = i // half % 2 == 0
-                if first and (i // half + 1) * half >= len(group):
-                    continue
-                # Symbols carry the number of the pair of halves.
-                symbols = np.frombuffer(content, np.uint8) + np.int64(256 * (i // (2 * half)) + 1)
-                # What is found already stands earlier in the same half: that is neither sought nor shown again.
-                for begin, stop in _runs(~found[g][i]):
-                    if first:
-                        indexed += [symbols[begin : stop - 1 + LENGTH], [0]]
-                        continue
-                    for at in range(begin, stop, PIECE):
-                        streamed.append(symbols[at : min(at + PIECE, stop) - 1 + LENGTH])
-                        targets.append((g, i, at))
-        if streamed:
-            index = RunIndex(np.concatenate(indexed))
-            bounds = np.cumsum([0, *map(len, streamed)])
-            matched = index.matching_statistics(np.concatenate(streamed), bounds) >= LENGTH
-            for (g, i, at), begin, stop in zip(targets, bounds[:-1].tolist(), bounds[1:].tolist()):
-                windows = stop - begin - LENGTH + 1
-                found[g][i][at : at + windows] |= matched[begin : begin + windows]
+    while all_.members.max(initial=0) > half:
+        # What is found already stands earlier in the same half: that is neither sought nor shown again.
+        begin, stop = all_.runs(shared & ~found)
+        nth, members = all_.nth[all_.of[begin]], all_.members[all_.of[begin]]
+        first = nth // half % 2 == 0
+        shown = first & ((nth // half + 1) * half < members)
+        sought = np.flatnonzero(~first & (members > half))
+        if shown.any() and len(sought):
+            pieces = -(-(stop[sought] - begin[sought]) // PIECE)
+            run = np.repeat(sought, pieces)
+            nth_piece = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            head = begin[run] + nth_piece * PIECE
+            tail = np.minimum(head + PIECE, stop[run])
+            index = RunIndex(all_.symbols(begin[shown], stop[shown], half, 1)[0])
+            streamed, bounds = all_.symbols(head, tail, half, 0)
+            matched = index.matching_statistics(streamed, bounds) >= LENGTH
+            windows = tail - head
+            inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            found[np.repeat(head, windows) + inner] |= matched[np.repeat(bounds[:-1], windows) + inner]
         half *= 2
-    return found
+    return all_, found
 
 
-def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
-    """Begins and ends of the runs of True."""
-    if marks.all():
-        return [(0, len(marks))]
-    edge = np.diff(marks.astype(np.int8), prepend=0, append=0)
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+def repeated_windows(groups: list[list[bytes]], again: list[list[bool]]) -> list[list[np.ndarray]]:
+    """For each group of different stretches in order: which windows of each stand in an earlier one or before in it."""
+    if not groups:
+        return []
+    all_, found = _found(groups, again)
+    parts = iter(np.split(found, all_.first[1:]))
+    return [[next(parts) for _ in group] for group in groups]
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,20 +267,22 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     owners: list[list[tuple[int, int, int]]] = []
     flags: list[list[bool]] = []
     copies: list[tuple[int, int, int, int]] = []
-    seen: set[bytes] = set()
+    seen: dict[bytes, tuple[int, int, int]] = {}
     name = None
     size = 0
 
     def flushed() -> pa.RecordBatch:
-        rows = list(copies)
+        parts = [np.array(copies, np.int64).reshape(-1, 4)]
         chosen = [g for g, group in enumerate(contents) if len(group) > 1 or flags[g][0]]
         if chosen:
-            marks = repeated_windows([contents[g] for g in chosen], [flags[g] for g in chosen])
-            for g, group in zip(chosen, marks):
-                for (doc, h, start), hit in zip(owners[g], group):
-                    rows += [(doc, h, start + a, start + b - 1 + LENGTH) for a, b in _runs(hit)]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "h", "begin", "stop"])
+            all_, found = _found([contents[g] for g in chosen], [flags[g] for g in chosen])
+            begin, stop = all_.runs(found)
+            of = all_.of[begin]
+            owner = np.array([place for g in chosen for place in owners[g]], np.int64)[of]
+            shift = owner[:, 2] - all_.first[of]
+            parts.append(np.stack([owner[:, 0], owner[:, 1], shift + begin, shift + stop - 1 + LENGTH], axis=1))
+        rows = np.concatenate(parts)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], ["doc", "h", "begin", "stop"])
 
     for batch in batches:
         for row_name, doc, h, start, windows, again, content in zip(*(batch.column(i).to_pylist() for i in range(7))):
@@ -226,14 +290,17 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= INDEX_BYTES:
                     yield flushed()
                     contents, owners, flags, copies, size = [], [], [], [], 0
-                name, seen = row_name, set()
+                name, seen = row_name, {}
                 contents.append([])
                 owners.append([])
                 flags.append([])
-            if content in seen:
+            first = seen.setdefault(content, (doc, h, start))
+            if first != (doc, h, start):
                 copies.append((doc, h, start, start + windows - 1 + LENGTH))
                 continue
-            seen.add(content)
+            if owners[-1] and owners[-1][-1] == first:
+                # The place comes once for each row that holds it.
+                continue
             contents[-1].append(content)
             owners[-1].append((doc, h, start))
             flags[-1].append(again)
@@ -272,17 +339,23 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ship_package(documents.sparkSession)
     keyed = documents.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumns({"doc": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
-    classes = keyed.groupBy("h").agg(F.min("doc").alias("first_doc"))
+    ).withColumns(
+        {
+            "doc": F.coalesce("doc_id", F.lit(-(2**63))),
+            "h": F.xxhash64("text"),
+            "g": F.xxhash64(F.lit(SECOND_HASH), F.col("text")),
+        }
+    )
+    classes = keyed.groupBy("h", "g").agg(F.min("doc").alias("first_doc"))
     names = _named(keyed).repartition("name").sortWithinPartitions("name", "h", "start")
     shared = stored(names.mapInArrow(_shared_names, "name bigint, h bigint, start bigint, windows bigint"), "stretches")
     places = (
         shared.groupBy("h")
         .agg(F.collect_list(F.struct("name", "start", "windows")).alias("places"))
         .join(classes, "h")
-        .withColumnRenamed("first_doc", "doc")
+        .select("h", "places", F.col("first_doc").alias("doc"))
     )
-    # Equal rows of the first document are one: take one of them.
+    # Only the first document of a class is cut; where the table holds it twice, its places come twice.
     texts = keyed.select("doc", "h", "text")
     cut = places.join(texts, ["doc", "h"]).select("doc", "h", "text", "places").mapInArrow(_cut, _STRETCH)
     cut = stored(cut, "bytes")
@@ -292,7 +365,7 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
     ranges = stored(ranges, "ranges").groupBy("doc", "h").agg(F.collect_list(F.struct("begin", "stop")).alias("parts"))
     return (
-        keyed.join(classes, "h")
+        keyed.join(classes, ["h", "g"])
         .join(ranges, ["doc", "h"], "left")
         .select("doc_id", "text", (F.col("doc") != F.col("first_doc")).alias("whole"), "parts")
         .mapInArrow(_removed, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
