@@ -68,7 +68,10 @@ def attributed(
     names = list(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, True).encode
+        with encoder(tokenizer, True) as loaded:
+            yield from counted(batches, loaded.encode)
+
+    def counted(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             values = [[text or "" for text in batch.column(1 + i).to_pylist()] for i in range(len(names))]

@@ -10,8 +10,8 @@ that is repeated leaves one copy. A block holds whole documents, closed at ``BLO
     bits                 width: the fewest bits that hold the largest id of the vocabulary
     payload              id i at bits [i * bits, (i + 1) * bits), least significant bit first
 
-Each document ends with ``end_id``. Documents stand in ascending order of id, NULL ids first, repeated ids in
-any order among themselves. A NULL text counts as empty. Other columns are ignored; an empty table gives no
+Each document ends with ``end_id``. Documents stand in ascending order of id, NULL ids first, repeated ids by a
+hash of the text, so that reruns agree. A NULL text counts as empty. Other columns are ignored; an empty table gives no
 block. Sorting shuffles the texts once; tasks hold one batch of texts and one block.
 """
 
@@ -70,10 +70,13 @@ def write_tokens(
     bits = width(vocabulary)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with encoder(tokenizer) as loaded:
+            yield from packed(batches, loaded.encode)
+
+    def packed(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = encoder(tokenizer).encode
         names: list[int | None] = []
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -109,7 +112,7 @@ def write_tokens(
     (
         documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange("id")
-        .sortWithinPartitions("id")
+        .sortWithinPartitions("id", F.xxhash64("text"))
         .mapInArrow(blocks, BLOCK_SCHEMA)
         .write.mode("error")
         .parquet(path)

@@ -7,19 +7,29 @@ pieces, one after another. Words repeat, so each worker keeps what it has encode
 between spaces, and the words and signs they are made of; only new words reach the tokenizer.
 
 Each level keeps two generations of at most ``KEPT`` entries (some 200 bytes each): a full one becomes the old
-one, and what is used again moves on. Memory is bounded, and ids do not depend on it.
+one, and what is used again moves on. Memory is bounded, and ids do not depend on it. When a task ends, each
+level's old generation goes, and all of it when no other task has come for ``IDLE_SECONDS``: idle workers live on beside
+the tasks of later stages, which need the memory.
+
+Tokenizers that are not byte-level BPE without a normaliser cut texts in other places: they encode whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
+from threading import Lock, Timer
 
 import numpy as np
 
-KEPT = 400_000
+KEPT = 600_000
+# Tasks of one stage follow one another faster.
+IDLE_SECONDS = 2.0
 
 _SIDE_BY_SIDE = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -76,6 +86,24 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return grown
 
 
+def cuts_are_safe(tokenizer) -> bool:
+    """Whether the ids of a text are those of its pieces: byte-level BPE that adds, drops and merges nothing between them."""
+    parts = json.loads(tokenizer.to_str())
+    cut, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    return (
+        parts.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and cut.get("use_regex", True)
+        and not cut.get("add_prefix_space")
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not model.get("continuing_subword_prefix")
+        and not model.get("end_of_word_suffix")
+        and not any(token["normalized"] or token["lstrip"] or token["rstrip"] for token in parts.get("added_tokens", ()))
+        and not any(" " in token["content"] for token in parts.get("added_tokens", ()))
+    )
+
+
 class PieceEncoder:
     """Encodes batches of texts; ``offsets=True`` also gives each token's span of characters."""
 
@@ -87,8 +115,16 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._offsets = offsets
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+        self._piecewise = cuts_are_safe(self._tokenizer)
+        self._plain = False
         self._levels = [[_Kept(offsets), _Kept(offsets)] for _ in range(2)]
 
+    def release(self, everything: bool = True) -> None:
+        """Forget what was encoded, or just the old generations."""
+        self._levels = [
+            [_Kept(self._offsets) if everything else young, _Kept(self._offsets)] for young, _ in self._levels
+        ]
+
     def _places(self, level: int, keys: list[str]) -> tuple[_Kept, np.ndarray]:
         """The level's young generation, holding all the keys, and their places."""
         young, old = self._levels[level]
@@ -112,7 +148,9 @@ class PieceEncoder:
 
     def _words(self, part: str) -> list[str]:
         """Cut further, but never through a string that the tokenizer knows as a whole."""
-        return [part] if any(name in part for name in self._special) else _FINE.split(part)
+        if not self._plain and any(name in part for name in self._special):
+            return [part]
+        return _FINE.split(part)
 
     @staticmethod
     def _flat(kept: _Kept, places: np.ndarray):
@@ -129,10 +167,12 @@ class PieceEncoder:
         return kept.joined(places, np.array(cuts))
 
     def _from_tokenizer(self, words: list[str]):
-        encoded = self._tokenizer.encode_batch(words, add_special_tokens=False)
+        # Without spans, the faster call that does not track them will do.
+        encode = self._tokenizer.encode_batch if self._offsets else self._tokenizer.encode_batch_fast
+        encoded = encode(words, add_special_tokens=False)
         ids = [encoding.ids for encoding in encoded]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         chars = np.fromiter(map(len, words), np.int64, len(words))
         spans = None
         if self._offsets:
@@ -141,6 +181,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """All ids in one array, the number of ids of each text, and the spans of the ids if kept."""
+        if not self._piecewise:
+            ids, counts, _, spans = self._from_tokenizer(texts)
+            return ids, counts, spans
+        self._plain = not any(name in text for text in texts for name in self._special)
         heads: list[str] = []
         rest: list[str] = []
         cuts = [0]
@@ -167,11 +211,36 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, offsets: bool = False) -> PieceEncoder:
-    """The worker's encoder; a worker serves many tasks."""
+def _loaded(path: str, offsets: bool) -> PieceEncoder:
+    """The worker's encoder; a worker serves many tasks, which all use the vocabulary it has read."""
     return PieceEncoder(path, offsets)
 
 
+_turn = Lock()
+_turns: dict[PieceEncoder, int] = {}
+
+
+def _release_if_idle(loaded: PieceEncoder, turn: int) -> None:
+    with _turn:
+        if _turns[loaded] == turn:
+            loaded.release()
+
+
+@contextmanager
+def encoder(path: str, offsets: bool = False) -> Iterator[PieceEncoder]:
+    """The worker's encoder for the length of a task."""
+    with _turn:
+        loaded = _loaded(path, offsets)
+        turn = _turns[loaded] = _turns.get(loaded, 0) + 1
+    try:
+        yield loaded
+    finally:
+        loaded.release(everything=False)
+        later = Timer(IDLE_SECONDS, _release_if_idle, (loaded, turn))
+        later.daemon = True
+        later.start()
+
+
 def text_groups(texts: list[str | None], limit: int = 1 << 20):
     """(first row, texts) of at most about ``limit`` characters, or one longer text. NULL is empty."""
     group: list[str] = []

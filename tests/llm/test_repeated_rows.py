@@ -84,14 +84,26 @@ def test_other_tokenizers_encode_whole_texts(tmp_path):
     assert cuts_are_safe(Tokenizer.from_file(tokenizer_path()))
 
 
-def test_what_a_task_has_encoded_goes_with_it():
+def test_idle_workers_forget_what_they_encoded(monkeypatch):
+    from time import sleep
+
+    from mediaflow.llm import encoding
+
+    monkeypatch.setattr(encoding, "IDLE_SECONDS", 0.3)
     with encoder(tokenizer_path()) as loaded:
         loaded.encode(["some words to keep for a while"])
-        loaded._levels[0][1], loaded._levels[1][1] = loaded._levels[0][0], loaded._levels[1][0]
-    # One generation of either level stays with the worker.
-    assert all(young.place and not old.place for young, old in loaded._levels)
+        old = [level[1] for level in loaded._levels]
+    # The next task finds the young generations; the wait of the one before does not end its work.
+    with encoder(tokenizer_path()) as again:
+        assert again is loaded and all(level[0].place for level in loaded._levels)
+        assert not any(level[1] in old for level in loaded._levels)
+        sleep(0.6)
+        assert all(level[0].place for level in loaded._levels)
+        first = again.encode(["some words to keep for a while"])[0].tolist()
+    sleep(0.6)
+    assert not any(kept.place for level in loaded._levels for kept in level)
     with encoder(tokenizer_path()) as again:
-        assert again is loaded
+        assert again.encode(["some words to keep for a while"])[0].tolist() == first
 
 
 @pytest.mark.parametrize("limit", [1 << 24, 60, 1])
