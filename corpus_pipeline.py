@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaflow.llm import binary, language, minhash, mixing, winnow
-from mediaflow.llm.common import read, scratch, stored
+from mediaflow.llm.common import free_name, read, scratch, stored
 from mediaflow.llm.queries import VOCABULARY, tokenizer_path
 
 SHINGLE_WORDS = 5
 
 
+def apart(docs: DataFrame, results: Iterable[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage that adds columns of these names, run so that the documents' own columns of that name stay what they are."""
+    added = {name.lower() for name in results}
+    aside = {name: free_name(docs, f"_{name}") for name in docs.columns if name.lower() in added}
+    kept = stage(docs.withColumnsRenamed(aside)).select(*[aside.get(name, name) for name in docs.columns])
+    return kept.toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a letter and those too far from every profile go."""
     training = docs.filter(~language.held_out("doc_id"))
     profiles = language.learned(training, "text", "lang")
     lowest = language.lowest_scores(training, "text", "lang", profiles)
-    told = language.identified(docs, "text", profiles)
-    return told.filter(language.believed(lowest)).select(*docs.columns)
+    return apart(
+        docs,
+        ("lang_pred", "score"),
+        lambda ours: language.identified(ours, "text", profiles).filter(language.believed(lowest)),
+    )
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; one row where rows share an id."""
+    """One document of each group of near-duplicates, the one with the least id.
+
+    Rows that share an id are one document to the grouping; of these, rows with one text stay once, the first by all
+    columns, and different texts all stay. Rows without an id stay.
+    """
     dropped = minhash.near_duplicates(docs, width=SHINGLE_WORDS).filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+    alike = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(*docs.columns)
+    ours = left.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    once = ours.withColumn("__nth", F.row_number().over(alike)).filter("__nth = 1").drop("__nth")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
-    found = winnow.searched(docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("items") == 0).select(*docs.columns)
+    benchmark = read(spark, sf_dir, "benchmark")
+    return apart(docs, winnow.RESULTS, lambda ours: winnow.searched(ours, benchmark).filter(F.size("items") == 0))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
