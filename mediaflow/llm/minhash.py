@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaflow.llm.common import (
@@ -249,22 +249,34 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int, width: int)
     )
     few = rows.filter(F.col("members") <= CROWD).withColumn("most", F.col("n"))
     crowds = rows.filter(F.col("members") > CROWD)
-    inside = crowds.select("rep", "component").distinct()
+    inside = crowds.select("rep", "k0", "k1", "component", "n", "s0", "s1").distinct()
     rare = _rare_shingles(inside.select("rep").distinct(), documents, width)
-    # Either two classes have a rare shingle in common, or at most their other ones.
-    holders = rare.filter("n > 1").join(inside, "rep").select("shingle", "rep", "component").distinct()
+    # Either two classes have a rare shingle in common, or at most their other ones. The rarest that they share is then
+    # among the first of both, as many as a set may have beyond what the similarity asks for, and one more. What sizes
+    # and sketches rule out is never made a pair.
+    rarest = Window.partitionBy("rep", "k0", "k1").orderBy("n", "shingle")
+    placed = rare.withColumn("nth", F.row_number().over(rarest)).filter("n > 1").select("rep", "k0", "k1", "shingle", "nth")
+    holders = placed.join(inside, ["rep", "k0", "k1"]).filter(100 * (F.col("nth") - 1) <= (100 - similarity) * F.col("n"))
     sharing = holders.alias("x").join(
         holders.alias("y"),
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.rep") > F.col("y.rep"))
-        & (F.col("x.component") != F.col("y.component")),
+        & (F.col("x.component") != F.col("y.component"))
+        & _possible(similarity),
     )
     own = rare.groupBy("rep", "k0", "k1").agg(F.count("*").alias("own"))
     crowds = crowds.join(own, ["rep", "k0", "k1"], "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     least = crowds.groupBy("band").agg(F.min("n").alias("least"))
     able = crowds.join(least, "band").filter((100 + similarity) * F.col("most") >= similarity * (F.col("n") + F.col("least")))
-    parts = [part.select("band", "rep", "component", "n", "s0", "s1", "most") for part in (few, able)]
-    found = [part.alias("x").join(part.alias("y"), apart) for part in parts]
+    # Classes alike enough for one bucket share several: a pair is made in the first of them only.
+    bands = able.groupBy("rep", "k0", "k1").agg(F.collect_set("band").alias("bands"))
+    able = able.join(bands, ["rep", "k0", "k1"])
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    columns = ["band", "rep", "component", "n", "s0", "s1", "most"]
+    found = [
+        few.select(*columns).alias("x").join(few.select(*columns).alias("y"), apart),
+        able.select(*columns, "bands").alias("x").join(able.select(*columns, "bands").alias("y"), apart & once),
+    ]
     pairs = [pair.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) for pair in (*found, sharing)]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
@@ -311,8 +323,7 @@ def near_duplicates(
     )
     first = buckets.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     pairs = stored(tried(first.distinct()), "pairs")
-    links = stored(_confirmed(pairs, documents, similarity, width).unionByName(same_id), "confirmed")
-    labels = components(links)
+    labels = components(stored(_confirmed(pairs, documents, similarity, width).unionByName(same_id), "confirmed"))
     for turn in range(PIVOT_ROUNDS + 1):
         labelled = (
             buckets.drop("low")
@@ -333,8 +344,10 @@ def near_duplicates(
         fresh = stored(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
-            links = links.unionByName(stored(_confirmed(fresh, documents, similarity, width), "confirmed"))
-            labels = components(links)
+            # What is linked already is a star for each component; only what is new is more.
+            stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            confirmed = stored(_confirmed(fresh, documents, similarity, width), "confirmed")
+            labels = components(stars.unionByName(confirmed))
     out = (
         signed.select("doc_id", "n_shingles", "k0", "k1")
         .join(classes, ["k0", "k1"], "left")
