@@ -4,9 +4,12 @@ Byte-level pre-tokenisation cuts a text into pieces that are encoded one by one,
 seen without running it: before a space that has no white space beside it, since a space goes to the word after
 it; behind a letter that no letter follows; around a single line break. The ids of a text are the ids of such
 pieces, one after another. Words repeat, so each worker keeps what it has encoded, in two levels: the parts
-between spaces, and the words and signs they are made of; only new words reach the tokenizer.
+between spaces, and the words and signs they are made of; only new words reach the tokenizer. Without spans, one level
+will do: all cuts are made at once by classes of bytes, and words of up to 15 bytes are looked up all at once, by their
+bytes and length as two integers in an array; equal integers are equal words.
 
-Each level keeps two generations of at most ``KEPT`` entries (some 200 bytes each): a full one becomes the old
+Each level keeps two generations of about ``KEPT`` entries (some 200 bytes each; ``KEPT_PIECES`` of half as many bytes
+where one level does): a full one becomes the old
 one, and what is used again moves on. Memory is bounded, and ids do not depend on it. When a task ends, each
 level's old generation goes, and all of it when no other task has come for ``IDLE_SECONDS``: idle workers live on beside
 the tasks of later stages, which need the memory.
@@ -28,6 +31,12 @@ from threading import Lock, Timer
 import numpy as np
 
 KEPT = 600_000
+KEPT_PIECES = 1_000_000
+# Places for short pieces: well over KEPT_PIECES and RUN together.
+SLOT_BITS = 21
+# Pieces that are looked up at once.
+RUN = 1 << 18
+SHORT_BYTES = 15
 # Tasks of one stage follow one another faster.
 IDLE_SECONDS = 2.0
 
@@ -39,6 +48,40 @@ _FINE = re.compile(
 )
 
 
+_IS_LETTER, _MAY_FOLLOW, _IS_SEEN, _IS_LINE, _IS_SPACE, _ENDS, _BEGINS = (1 << i for i in range(7))
+
+
+def _byte_classes() -> np.ndarray:
+    """Bits by byte, for the cuts of ``_FINE`` between ASCII signs and for those of ``_SAFE_SPACE``.
+
+    No white space ends or begins with a byte of the last two classes in UTF-8. Where that says too little about other signs,
+    a cut is left undone, which changes no id.
+    """
+    classes = np.full(256, _ENDS | _BEGINS, np.uint8)
+    for byte in range(0x21, 0x7F):
+        classes[byte] |= _IS_SEEN | (_IS_LETTER if chr(byte).isalpha() else _MAY_FOLLOW)
+    classes[0x20] |= _IS_SPACE | _MAY_FOLLOW
+    classes[0x0A] |= _IS_LINE | _MAY_FOLLOW
+    for char in (chr(code) for code in range(0x3001) if chr(code).isspace()):
+        classes[char.encode()[-1]] &= 0xFF ^ _ENDS
+        classes[char.encode()[0]] &= 0xFF ^ _BEGINS
+    return classes
+
+
+_CLASSES = _byte_classes()
+
+
+def _cut_places(data: np.ndarray) -> np.ndarray:
+    """Places in a text, from 1 on, before which it may be cut."""
+    classes = np.concatenate([np.zeros(1, np.uint8), _CLASSES[data], np.zeros(1, np.uint8)])
+    older, before, here, after = classes[:-3], classes[1:-2], classes[2:-1], classes[3:]
+    cut = (before & _IS_LETTER != 0) & (here & _MAY_FOLLOW != 0)
+    cut |= (before & _IS_SEEN != 0) & (here & _IS_LINE != 0)
+    cut |= (older & _IS_SEEN != 0) & (before & _IS_LINE != 0) & (here & _IS_SEEN != 0)
+    cut |= (before & _ENDS != 0) & (here & _IS_SPACE != 0) & (after & _BEGINS != 0)
+    return np.flatnonzero(cut) + 1
+
+
 class _Kept:
     """Ids, and spans if asked for, by piece."""
 
@@ -51,7 +94,11 @@ class _Kept:
 
     def add(self, keys: list[str], ids, lengths, chars, spans) -> None:
         count = len(self.place)
-        stop, end = count + len(keys), self.size + len(ids)
+        self.append(count, ids, lengths, chars, spans)
+        self.place.update(zip(keys, range(count, count + len(keys))))
+
+    def append(self, count: int, ids, lengths, chars, spans) -> None:
+        stop, end = count + len(lengths), self.size + len(ids)
         for name in ("starts", "lengths", "chars"):
             setattr(self, name, _room(getattr(self, name), stop))
         self.ids = _room(self.ids, end)
@@ -62,7 +109,6 @@ class _Kept:
         if self.spans is not None:
             self.spans = _room(self.spans, end)
             self.spans[self.size : end] = spans
-        self.place.update(zip(keys, range(count, stop)))
         self.size = end
 
     def joined(self, places: np.ndarray, cuts: np.ndarray):
@@ -78,6 +124,69 @@ class _Kept:
         return self.ids[at], np.diff(before[cuts]), np.diff(char_before[cuts]), spans
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29), np.uint64(64 - SLOT_BITS)
+
+
+def _short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 bytes of spans of at most ``SHORT_BYTES``, and the rest with the size on top; the data ends with 16 more bytes."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    low = eights[starts] & _MASKS[np.minimum(sizes, 8)]
+    high = eights[starts + 8] & _MASKS[np.maximum(sizes - 8, 0)]
+    return low, high | sizes.astype(np.uint64) << np.uint64(56)
+
+
+class _KeptPieces(_Kept):
+    """Ids by piece, as bytes: short pieces in an open table, longer ones by name."""
+
+    def __init__(self):
+        super().__init__(False)
+        self.count = 0
+        # A key's size is never 0, so neither is its high half: that marks a free slot.
+        self.low, self.high = (np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(2))
+        self.at = np.zeros(1 << SLOT_BITS, np.int32)
+
+    @staticmethod
+    def _slots(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        one, other, shift, rest = _SPREAD
+        value = (low * one + high) * other
+        value ^= value >> shift
+        value *= one
+        return (value >> rest).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places of short pieces; -1 for those that are not there."""
+        places = np.full(len(low), -1, np.int64)
+        slots, open_ = self._slots(low, high), np.arange(len(low))
+        while len(open_):
+            held = self.high[slots]
+            same = (held == high[open_]) & (self.low[slots] == low[open_])
+            places[open_[same]] = self.at[slots[same]]
+            on = np.flatnonzero(~same & (held != 0))
+            slots, open_ = (slots[on] + 1) & (len(self.at) - 1), open_[on]
+        return places
+
+    def find_named(self, names: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+
+    def add_pieces(self, short, low, high, names: list[bytes], ids, lengths, chars) -> None:
+        """New pieces, each once: ``short`` tells which go by ``low`` and ``high``; the others by their names."""
+        base = self.count
+        self.append(base, ids, lengths, chars, None)
+        self.count += len(names)
+        for i in np.flatnonzero(~short).tolist():
+            self.place[names[i]] = base + i
+        open_ = np.flatnonzero(short)
+        slots = self._slots(low[open_], high[open_])
+        while len(open_):
+            free = self.high[slots] == 0
+            self.at[slots[free]] = base + open_[free]
+            # Of those that meet in a free slot, one stays.
+            stays = free & (self.at[slots] == base + open_)
+            self.low[slots[stays]], self.high[slots[stays]] = low[open_[stays]], high[open_[stays]]
+            slots, open_ = (slots[~stays] + 1) & (len(self.at) - 1), open_[~stays]
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
@@ -118,12 +227,14 @@ class PieceEncoder:
         self._piecewise = cuts_are_safe(self._tokenizer)
         self._plain = False
         self._levels = [[_Kept(offsets), _Kept(offsets)] for _ in range(2)]
+        self._pieces = [_KeptPieces(), _KeptPieces()]
 
     def release(self, everything: bool = True) -> None:
         """Forget what was encoded, or just the old generations."""
         self._levels = [
             [_Kept(self._offsets) if everything else young, _Kept(self._offsets)] for young, _ in self._levels
         ]
+        self._pieces = [_KeptPieces() if everything else self._pieces[0], _KeptPieces()]
 
     def _places(self, level: int, keys: list[str]) -> tuple[_Kept, np.ndarray]:
         """The level's young generation, holding all the keys, and their places."""
@@ -179,12 +290,71 @@ class PieceEncoder:
             spans = np.array([span for one in encoded for span in one.offsets], np.int32).reshape(-1, 2)
         return flat, lengths, chars, spans
 
+    def _piece_ids(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces raw[starts[i]:ends[i]], and how many each has."""
+        if self._pieces[0].count > KEPT_PIECES:
+            self._pieces = [_KeptPieces(), self._pieces[0]]
+        young, old = self._pieces
+
+        def placed(kept: _KeptPieces, short: np.ndarray, low: np.ndarray, high: np.ndarray, names: list[bytes]) -> np.ndarray:
+            places = np.empty(len(short), np.int64)
+            places[short] = kept.find(low[short], high[short])
+            places[~short] = kept.find_named(names)
+            return places
+
+        sizes = ends - starts
+        short = sizes <= SHORT_BYTES
+        low, high = _short_keys(data, starts, np.minimum(sizes, SHORT_BYTES))
+        long_names = [raw[a:b] for a, b in zip(starts[~short].tolist(), ends[~short].tolist())]
+        places = placed(young, short, low, high, long_names)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            first = {raw[a:b]: i for i, a, b in zip(missing.tolist(), starts[missing].tolist(), ends[missing].tolist())}
+            wanted, names = np.fromiter(first.values(), np.int64, len(first)), list(first)
+            there = placed(old, short[wanted], low[wanted], high[wanted], [names[i] for i in np.flatnonzero(~short[wanted]).tolist()])
+            for known in (True, False):
+                some = np.flatnonzero((there >= 0) == known)
+                if len(some):
+                    chosen, at = [names[i] for i in some.tolist()], wanted[some]
+                    if known:
+                        ids, lengths, chars, _ = self._flat(old, there[some])
+                    else:
+                        ids, lengths, chars, _ = self._from_tokenizer([name.decode() for name in chosen])
+                    young.add_pieces(short[at], low[at], high[at], chosen, ids, lengths, chars)
+            places = placed(young, short, low, high, long_names)
+        ids, lengths, _, _ = self._flat(young, places)
+        return ids, lengths
+
+    def _encode_bytes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text; no text has a string that the tokenizer knows as a whole."""
+        bounds = np.cumsum([0, *map(len, texts)])
+        raw = b"".join([*texts, bytes(16)])
+        data = np.frombuffer(raw, np.uint8)
+        cuts = _cut_places(data[: bounds[-1]])
+        # What may be cut is not decided by signs of the next text.
+        firsts = bounds[:-1][np.diff(bounds) > 0]
+        edges = np.concatenate([firsts, firsts - 1, firsts + 1])
+        at = np.searchsorted(cuts, edges)
+        inside = at < len(cuts)
+        cuts = np.delete(cuts, at[inside][cuts[at[inside]] == edges[inside]])
+        starts = np.insert(cuts, np.searchsorted(cuts, firsts), firsts)
+        ends = np.append(starts[1:], bounds[-1])
+        found = [
+            self._piece_ids(raw, data, starts[i : i + RUN], ends[i : i + RUN]) for i in range(0, len(starts), RUN)
+        ]
+        lengths = np.concatenate([np.zeros(0, np.int64), *[n for _, n in found]])
+        before = np.append(0, np.cumsum(lengths))
+        counts = np.diff(before[np.searchsorted(starts, bounds)])
+        return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in found]]), counts
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """All ids in one array, the number of ids of each text, and the spans of the ids if kept."""
         if not self._piecewise:
             ids, counts, _, spans = self._from_tokenizer(texts)
             return ids, counts, spans
         self._plain = not any(name in text for text in texts for name in self._special)
+        if self._plain and not self._offsets:
+            return *self._encode_bytes([text.encode() for text in texts]), None
         heads: list[str] = []
         rest: list[str] = []
         cuts = [0]
