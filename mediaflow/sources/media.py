@@ -17,6 +17,9 @@ from mediaflow.shipping import ship_package
 from mediaflow.storage import arrow_path, scratch_path
 
 
+TASKS_PER_CORE = 4
+
+
 def class_of_path(path: str | Column) -> Column:
     """Name of the folder a file lies in."""
     column = F.col(path) if isinstance(path, str) else path
@@ -63,7 +66,8 @@ def read_decoded_images(
     """Pictures below a class tree, decoded by Spark's image source and resized if a size is given.
 
     Gives (path, class, height, width, channels, imgnpa). A file that is no picture has a NULL
-    array, or is left out with ``drop_invalid``.
+    array, or is left out with ``drop_invalid``. Spark plans a partition for few files, however small they are; a task
+    takes many of these one after another, ``TASKS_PER_CORE`` for each core.
     """
     images = (
         spark.read.format("image")
@@ -79,6 +83,7 @@ def read_decoded_images(
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
     )
+    rasters = rasters.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return flatten_rasters(rasters, height, width)
 
 
@@ -128,8 +133,8 @@ def decode_stored(
 
     One decoder serves every row, whatever the workers have installed. The source reads files, so each distinct payload
     is written to the shared folder once, in one of 256 folders by its digest, and its pixels are joined back by that
-    digest: equal payloads are stored and decoded once. It takes a small file for each; BMP and PNG alone need none,
-    see ``operators.images.decode_images``. A payload that is no picture, or NULL, gives NULL and a reason.
+    digest: equal payloads are stored and decoded once, and their pixels are written to a table, which the join may read
+    again. It takes a small file for each; BMP and PNG alone need none, see ``operators.images.decode_images``. A payload that is no picture, or NULL, gives NULL and a reason.
     """
     require_columns(df, [content_col])
     spark = df.sparkSession
@@ -148,6 +153,9 @@ def decode_stored(
         decoded = read_decoded_images(spark, root, height, width).select(
             F.element_at(F.split("path", "/"), -1).alias("__digest"), F.col("imgnpa").alias(output_col)
         )
+        table = scratch_path(spark, "pixels")
+        decoded.write.parquet(table)
+        decoded = spark.read.schema(decoded.schema).parquet(table)
     else:
         decoded = spark.createDataFrame([], f"__digest string, `{output_col}` array<float>")
     joined = lookup_join(df.withColumn("__digest", digest), decoded, "__digest", "left")
