@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from mediaflow.llm.common import stored
 
+# Links that one task takes, some 16 bytes each; more are dealt out to all.
+FEW_LINKS = 1 << 17
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); a component is named by its smallest node.
 
     Each round hangs the larger neighbours of every node on its least neighbour, then the smaller ones too. Links
     never grow in number, and all are stars after a number of rounds that grows with the logarithm of the nodes.
-    A round is written to the shared folder. Links with a NULL end are dropped.
+    A round is written to the shared folder. A round over at most ``FEW_LINKS`` links is one task's, which shuffles nothing;
+    results do not depend on it. Links with a NULL end are dropped.
     """
     edges = stored(
         links.filter("a is not null and b is not null and a <> b")
@@ -22,8 +26,10 @@ def components(links: DataFrame) -> DataFrame:
         "links",
     )
     state = None
+    count = edges.count()
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        gathered = (lambda df: df.coalesce(1)) if count <= FEW_LINKS else (lambda df: df)
+        both = gathered(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (
             both.filter("b > a")
@@ -37,11 +43,11 @@ def components(links: DataFrame) -> DataFrame:
         small = hung.select(F.col("a"), F.col("m").alias("b")).unionByName(
             hung.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
-        edges = stored(small.distinct(), "links")
+        edges = stored(gathered(small).distinct(), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
-        state = now
+        state, count = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
