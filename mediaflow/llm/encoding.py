@@ -82,21 +82,15 @@ def _cut_places(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-class _Kept:
-    """Ids, and spans if asked for, by piece."""
+class _Ids:
+    """Ids, and spans if asked for, by place."""
 
     def __init__(self, offsets: bool):
-        self.place: dict[str, int] = {}
         self.size = 0
         self.starts, self.lengths, self.chars = (np.zeros(4096, np.int64) for _ in range(3))
         self.ids = np.zeros(16384, np.uint32)
         self.spans = np.zeros((16384, 2), np.int32) if offsets else None
 
-    def add(self, keys: list[str], ids, lengths, chars, spans) -> None:
-        count = len(self.place)
-        self.append(count, ids, lengths, chars, spans)
-        self.place.update(zip(keys, range(count, count + len(keys))))
-
     def append(self, count: int, ids, lengths, chars, spans) -> None:
         stop, end = count + len(lengths), self.size + len(ids)
         for name in ("starts", "lengths", "chars"):
@@ -124,6 +118,19 @@ class _Kept:
         return self.ids[at], np.diff(before[cuts]), np.diff(char_before[cuts]), spans
 
 
+class _Kept(_Ids):
+    """Ids by piece."""
+
+    def __init__(self, offsets: bool):
+        super().__init__(offsets)
+        self.place: dict[str, int] = {}
+
+    def add(self, keys: list[str], ids, lengths, chars, spans) -> None:
+        count = len(self.place)
+        self.append(count, ids, lengths, chars, spans)
+        self.place.update(zip(keys, range(count, count + len(keys))))
+
+
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29), np.uint64(64 - SLOT_BITS)
 
@@ -136,16 +143,21 @@ def _short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
     return low, high | sizes.astype(np.uint64) << np.uint64(56)
 
 
-class _KeptPieces(_Kept):
+class _KeptPieces(_Ids):
     """Ids by piece, as bytes: short pieces in an open table, longer ones by name."""
 
     def __init__(self):
         super().__init__(False)
         self.count = 0
+        self.named: dict[bytes, int] = {}
         # A key's size is never 0, so neither is its high half: that marks a free slot.
         self.low, self.high = (np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(2))
         self.at = np.zeros(1 << SLOT_BITS, np.int32)
 
+    @property
+    def place(self) -> range:
+        return range(self.count)
+
     @staticmethod
     def _slots(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         one, other, shift, rest = _SPREAD
@@ -167,7 +179,7 @@ class _KeptPieces(_Kept):
         return places
 
     def find_named(self, names: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        return np.fromiter(map(self.named.get, names, repeat(-1)), np.int64, len(names))
 
     def add_pieces(self, short, low, high, names: list[bytes], ids, lengths, chars) -> None:
         """New pieces, each once: ``short`` tells which go by ``low`` and ``high``; the others by their names."""
@@ -175,7 +187,7 @@ class _KeptPieces(_Kept):
         self.append(base, ids, lengths, chars, None)
         self.count += len(names)
         for i in np.flatnonzero(~short).tolist():
-            self.place[names[i]] = base + i
+            self.named[names[i]] = base + i
         open_ = np.flatnonzero(short)
         slots = self._slots(low[open_], high[open_])
         while len(open_):
@@ -226,15 +238,14 @@ class PieceEncoder:
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._piecewise = cuts_are_safe(self._tokenizer)
         self._plain = False
-        self._levels = [[_Kept(offsets), _Kept(offsets)] for _ in range(2)]
-        self._pieces = [_KeptPieces(), _KeptPieces()]
+        self._levels = [[self._empty(), self._empty()] for _ in range(2 if offsets else 1)]
+
+    def _empty(self) -> _Kept | _KeptPieces:
+        return _Kept(True) if self._offsets else _KeptPieces()
 
     def release(self, everything: bool = True) -> None:
         """Forget what was encoded, or just the old generations."""
-        self._levels = [
-            [_Kept(self._offsets) if everything else young, _Kept(self._offsets)] for young, _ in self._levels
-        ]
-        self._pieces = [_KeptPieces() if everything else self._pieces[0], _KeptPieces()]
+        self._levels = [[self._empty() if everything else young, self._empty()] for young, _ in self._levels]
 
     def _places(self, level: int, keys: list[str]) -> tuple[_Kept, np.ndarray]:
         """The level's young generation, holding all the keys, and their places."""
@@ -292,9 +303,9 @@ class PieceEncoder:
 
     def _piece_ids(self, raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces raw[starts[i]:ends[i]], and how many each has."""
-        if self._pieces[0].count > KEPT_PIECES:
-            self._pieces = [_KeptPieces(), self._pieces[0]]
-        young, old = self._pieces
+        young, old = self._levels[0]
+        if young.count > KEPT_PIECES:
+            young, old = self._levels[0] = [_KeptPieces(), young]
 
         def placed(kept: _KeptPieces, short: np.ndarray, low: np.ndarray, high: np.ndarray, names: list[bytes]) -> np.ndarray:
             places = np.empty(len(short), np.int64)
@@ -325,6 +336,20 @@ class PieceEncoder:
         ids, lengths, _, _ = self._flat(young, places)
         return ids, lengths
 
+    def _encode_plain(self, texts: list[str], special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts; those with a string that the tokenizer knows as a whole are not cut."""
+        if not special.any():
+            return self._encode_bytes([text.encode() for text in texts])
+        whole = [text for text, one in zip(texts, special) if one]
+        ids, lengths, _, _ = self._from_tokenizer(whole)
+        rest_ids, rest = self._encode_bytes([text.encode() for text, one in zip(texts, special) if not one])
+        counts = np.zeros(len(texts), np.int64)
+        counts[special], counts[~special] = lengths, rest
+        out = np.empty(len(ids) + len(rest_ids), np.uint32)
+        of_whole = np.repeat(special, counts)
+        out[of_whole], out[~of_whole] = ids, rest_ids
+        return out, counts
+
     def _encode_bytes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; no text has a string that the tokenizer knows as a whole."""
         bounds = np.cumsum([0, *map(len, texts)])
@@ -352,9 +377,10 @@ class PieceEncoder:
         if not self._piecewise:
             ids, counts, _, spans = self._from_tokenizer(texts)
             return ids, counts, spans
-        self._plain = not any(name in text for text in texts for name in self._special)
-        if self._plain and not self._offsets:
-            return *self._encode_bytes([text.encode() for text in texts]), None
+        special = np.array([any(name in text for name in self._special) for text in texts], bool)
+        if not self._offsets:
+            return *self._encode_plain(texts, special), None
+        self._plain = not special.any()
         heads: list[str] = []
         rest: list[str] = []
         cuts = [0]
