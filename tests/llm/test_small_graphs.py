@@ -15,7 +15,7 @@ def test_small_rounds_shuffle_nothing_and_find_the_same(spark, monkeypatch):
     stored = graph.stored
 
     def seen(df, name):
-        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning"))
         return stored(df, name)
 
     monkeypatch.setattr(graph, "stored", seen)
