@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.llm.common import (
     NOT_SPACE,
+    SHORT_PASS_BYTES,
     STEP,
     Bytes,
     PrefixHash,
@@ -111,7 +112,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = np.arange(BANDS, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
-            for texts in byte_passes(batch.column(1)):
+            for texts in byte_passes(batch.column(1), SHORT_PASS_BYTES):
                 sizes = np.zeros(len(texts), np.int64)
                 keys = np.zeros((len(texts), 4), np.int64)
                 bands = np.zeros((len(texts), BANDS), np.int64)
@@ -148,8 +149,8 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, similarity: int, width: i
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = np.zeros(batch.num_rows, bool)
-            ours = (s for texts in byte_passes(batch.column(2)) for s in shingle_sets(texts, width))
-            theirs = (s for texts in byte_passes(batch.column(3)) for s in shingle_sets(texts, width))
+            ours = (s for texts in byte_passes(batch.column(2), SHORT_PASS_BYTES) for s in shingle_sets(texts, width))
+            theirs = (s for texts in byte_passes(batch.column(3), SHORT_PASS_BYTES) for s in shingle_sets(texts, width))
             for i, (one, other) in enumerate(zip(ours, theirs)):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 links[i] = both > 0 and 100 * both >= similarity * (len(one) + len(other) - both)
@@ -172,7 +173,7 @@ def _rare_shingles(reps: DataFrame, documents: DataFrame, width: int) -> DataFra
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in byte_passes(batch.column(1)):
+            for texts in byte_passes(batch.column(1), SHORT_PASS_BYTES):
                 sets = list(shingle_sets(texts, width))
                 keys = np.array([_digests(one) if len(one) else (0, 0) for one in sets], np.int64).reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -237,6 +238,13 @@ def _to_pivots(rows: DataFrame, turn: int) -> DataFrame:
     )
 
 
+def _with_larger(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with the larger buckets of their class, by members: fewest where a bucket has most rows."""
+    before = Window.partitionBy("rep", "k0", "k1").orderBy(F.desc("members"), "band")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("larger", F.collect_list("band").over(before))
+
+
 def _across(rows: DataFrame, documents: DataFrame, similarity: int, width: int) -> DataFrame:
     """Pairs of classes of one bucket and different components that may be similar enough."""
     # Of n and m shingles, o in common are enough if (100 + similarity) * o >= similarity * (n + m).
@@ -268,14 +276,13 @@ def _across(rows: DataFrame, documents: DataFrame, similarity: int, width: int)
     crowds = crowds.join(own, ["rep", "k0", "k1"], "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     least = crowds.groupBy("band").agg(F.min("n").alias("least"))
     able = crowds.join(least, "band").filter((100 + similarity) * F.col("most") >= similarity * (F.col("n") + F.col("least")))
-    # Classes alike enough for one bucket share several: a pair is made in the first of them only.
-    bands = able.groupBy("rep", "k0", "k1").agg(F.collect_set("band").alias("bands"))
-    able = able.join(bands, ["rep", "k0", "k1"])
-    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    # Classes alike enough for one bucket share several: a pair is made in the largest of them only.
+    able = _with_larger(able)
+    once = ~F.arrays_overlap("x.larger", "y.larger")
     columns = ["band", "rep", "component", "n", "s0", "s1", "most"]
     found = [
         few.select(*columns).alias("x").join(few.select(*columns).alias("y"), apart),
-        able.select(*columns, "bands").alias("x").join(able.select(*columns, "bands").alias("y"), apart & once),
+        able.select(*columns, "larger").alias("x").join(able.select(*columns, "larger").alias("y"), apart & once),
     ]
     pairs = [pair.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")) for pair in (*found, sharing)]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from mediaflow.llm.common import (
     ALPHANUMERIC,
+    SHORT_PASS_BYTES,
     STEP,
     Bytes,
     PrefixHash,
@@ -58,7 +59,7 @@ class ItemBlock:
         self.ids = ids
         column = pa.array([text.encode() for text in texts], pa.large_binary())
         hashes, counts = [], []
-        for batch in byte_passes(column):
+        for batch in byte_passes(column, SHORT_PASS_BYTES):
             words, cuts = word_hashes(batch)
             hashes.append(words)
             counts.append(np.diff(cuts))
@@ -141,7 +142,7 @@ def _searched(documents: DataFrame, text_col: str, block: ItemBlock) -> DataFram
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in byte_passes(batch.column(text_at)):
+            for texts in byte_passes(batch.column(text_at), SHORT_PASS_BYTES):
                 words, cuts = word_hashes(texts)
                 n = len(texts)
                 spans: list[list[dict]] = [[] for _ in range(n)]
